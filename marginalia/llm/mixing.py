@@ -37,10 +37,42 @@ SEED = 17
 EPS = 1e-9
 
 
-def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flight phase: moves probabilities until at most two are undecided; keeps sum(p) and sum(p * size)."""
-    p = p.copy()
-    x = size.astype(float)
+def _step(p: np.ndarray, u: np.ndarray, draw: float) -> np.ndarray:
+    """One move along ``u`` to the border of the cube, up or down so that the expectation stays."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.min(np.where(u > 0, (1 - p) / u, np.where(u < 0, -p / u, np.inf)))
+        down = np.min(np.where(u > 0, p / u, np.where(u < 0, (p - 1) / u, np.inf)))
+    move = up if draw * (up + down) < down else -down
+    return np.clip(p + move * u, 0.0, 1.0)
+
+
+def _settle_large(p: np.ndarray, x: np.ndarray, order: np.ndarray, rng: np.random.Generator) -> None:
+    """Moves each of ``order`` until it is decided; all other undecided units make up for it together.
+
+    The direction is the unit itself less its projection on the constraints, with weights p (1 - p). A unit far
+    larger than the others would otherwise stay undecided to the end.
+    """
+    for i in order:
+        while EPS < p[i] < 1 - EPS:
+            rest = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+            rest = rest[rest != i]
+            w = p[rest] * (1 - p[rest])
+            a, b, c = w.sum(), (w * x[rest]).sum(), (w * x[rest] ** 2).sum()
+            det = a * c - b * b
+            if len(rest) < 3 or det <= 1e-9 * a * c:
+                return
+            alpha, beta = (c - b * x[i]) / det, (a * x[i] - b) / det
+            at = np.append(rest, i)
+            p[at] = _step(p[at], np.append(-w * (alpha + beta * x[rest]), 1.0), rng.random())
+
+
+def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, large: int = 64) -> np.ndarray:
+    """Flight phase: moves probabilities until at most two are undecided; keeps sum(p) and sum(p * size).
+
+    The first units (``large`` of them, a third at most) are settled one by one, the others three at a time, in their order.
+    """
+    p, x = p.copy(), size.astype(float)
+    _settle_large(p, x, np.flatnonzero((p > EPS) & (p < 1 - EPS))[: min(large, len(p) // 3)], rng)
     draws = rng.random(2 * len(p) + 16)
     held: list[int] = []
     k = 0
@@ -48,19 +80,11 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
         held.append(i)
         while len(held) > 2:
             a, b, c = held[:3]
-            u = (x[b] - x[c], x[c] - x[a], x[a] - x[b])
-            if not any(u):
-                u = (1.0, -1.0, 0.0)
-            up = down = np.inf
-            for j, v in zip(held, u):
-                if v > 0:
-                    up, down = min(up, (1 - p[j]) / v), min(down, p[j] / v)
-                elif v < 0:
-                    up, down = min(up, -p[j] / v), min(down, (p[j] - 1) / v)
-            move = up if draws[k % len(draws)] * (up + down) < down else -down
+            u = np.array([x[b] - x[c], x[c] - x[a], x[a] - x[b]])
+            if not u.any():
+                u = np.array([1.0, -1.0, 0.0])
+            p[held] = _step(p[held], u, draws[k % len(draws)])
             k += 1
-            for j, v in zip(held, u):
-                p[j] = min(1.0, max(0.0, p[j] + move * v))
             left = [j for j in held if EPS < p[j] < 1 - EPS]
             if len(left) == len(held):  # rounding kept all three inside: settle the nearest one
                 j = min(held, key=lambda j: min(p[j], 1 - p[j]))
