@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,13 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller slices, so that few texts are held as objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8 bytes; null becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
@@ -56,7 +64,3 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.frombuffer(offsets, dtype=np.int64, count=at + n + 1)[at:]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
-def to_batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], type=t) for k, t in types.items()], names=list(types))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, text_bytes
+from .common import ALNUM, pieces, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 2_000_000
@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for b in batches:
+        for b in pieces(batches):
             n_words, n_hit, items, runs, bad = [], [], [], [], []
             for words, merged, ids in scan(text_bytes(b.column("text")), parts, window, held):
                 hit = sum(end - start for start, end in merged)
@@ -159,7 +159,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for b in batches:
+        for b in pieces(batches):
             found = scan(text_bytes(b.column("text")), parts, window, held)
             yield b.filter(pa.array([not is_contaminated(len(w), sum(e - s for s, e in merged)) for w, merged, _ in found], pa.bool_()))
 

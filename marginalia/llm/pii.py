@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "secret", "account")
 DIGITS = frozenset("0123456789")
@@ -220,7 +222,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for b in batches:
+        for b in pieces(batches):
             found = [find(x or "", anchors) for x in b.column("text").to_pylist()]
             counts = [pa.array([len(f[k]) for f in found], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(

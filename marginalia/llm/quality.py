@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, text_bytes
+from .common import LOWER, pieces, text_bytes
 from .tokens import Remember, is_held_out, labelled_sample
 
 #: Labelled documents that the model is fitted on, at most.
@@ -141,7 +141,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, memory = shared.value, Remember(word_code)
-        for b in batches:
+        for b in pieces(batches):
             s = [text_score(x, w, memory) for x in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
@@ -154,7 +154,7 @@ def drop_rejected(docs: DataFrame, weights: np.ndarray, threshold: float = THRES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, memory = shared.value, Remember(word_code)
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array([text_score(x, w, memory) >= threshold for x in text_bytes(b.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, text_bytes, with_uid
+from .common import LOWER, materialize, pieces, text_bytes, with_uid
 from .graph import connected_components, forest
 
 #: Segment (width, radius) for radius 4, by the number of distinct fingerprints up to which they are used.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(uid, doc_id, fp) for each row of ``docs``; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fps = np.array([fingerprint(x, width) for x in text_bytes(b.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(fps)], names=["uid", "doc_id", "fp"])
 

@@ -30,14 +30,14 @@ class Remember(dict):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int) -> DataFrame:
     """(text, y): at most ``most`` labelled documents, the first in an order of hashed ids, the same each time.
 
-    The ids are broadcast (at most ``most`` of them), so no text is shuffled. ``keep`` is a condition on doc_id.
-    Labels that are null or not 0 or 1 are left out; of repeated labels the largest holds; a document that
-    occurs more than once under one id is taken as often, in order, up to ``most`` rows.
+    The ids are broadcast (at most ``most`` of them), so only the sample's texts are shuffled. ``keep`` is a
+    condition on doc_id. Labels that are null or not 0 or 1 are left out; of repeated labels the largest holds;
+    of documents that share an id one is taken, the one with the smallest text.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return materialize(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).select("text", "y"))
+    return materialize(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"))
 
 
 def is_held_out(modulus: int, remainder: int) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, id_remainder, text_bytes
+from .common import ALNUM, pieces, text_bytes
 from .tokens import Remember, is_held_out, labelled_sample
 
 #: Labelled documents that the model is fitted on, at most.
@@ -123,12 +123,10 @@ def corpus_shares(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SHARES, np.int64)
         memory = Remember(lambda w: crc32(w) & (SHARES - 1))
-        for b in batches:
+        for b in pieces(batches):
             for x in text_bytes(b.column("text")):
                 words = tokens(x)
-                total += np.bincount(np.fromiter(map(memory.__getitem__, words), np.int64, len(words)), minlength=SHARES) if len(words) > 4096 else 0
-                if 0 < len(words) <= 4096:
-                    np.add.at(total, np.fromiter(map(memory.__getitem__, words), np.int64, len(words)), 1)
+                np.add.at(total, np.fromiter(map(memory.__getitem__, words), np.int64, len(words)), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -139,17 +137,18 @@ def corpus_shares(docs: DataFrame) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token counts by class: kind 0 word buckets (with the stem and corpus bucket of the last word there)."""
+    """Token counts by class: kind 0 word buckets (with the largest stem and corpus bucket of the words there)."""
     count = np.zeros((2, WORDS), np.int64)
     home = np.zeros((2, WORDS), np.int32)
     memory = Remember(lambda w: crc32(w) & (WORDS - 1))
-    for b in batches:
+    for b in pieces(batches):
         for x, y in zip(text_bytes(b.column("text")), b.column("y").to_pylist()):
             words = tokens(x)
             bucket = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
             np.add.at(count[y], bucket, 1)
             for w in set(words):
-                home[:, crc32(w) & (WORDS - 1)] = stem(w), crc32(w) & (SHARES - 1)
+                k = crc32(w) & (WORDS - 1)
+                home[0, k], home[1, k] = max(home[0, k], stem(w)), max(home[1, k], k & (SHARES - 1))
     at = np.flatnonzero(count.any(axis=0))
     cols = [at.astype(np.int32), home[0, at], home[1, at], count[0, at], count[1, at]]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "stem", "share", "clean", "toxic"])
@@ -223,7 +222,7 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         memory = Remember(m.token_score)
-        for b in batches:
+        for b in pieces(batches):
             e = [m.evidence(*m.passages(x, memory)) for x in text_bytes(b.column("text"))]
             bins = np.clip((np.array(e) - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("y")], names=["bin", "y"])
@@ -250,7 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         memory = Remember(m.token_score)
-        for b in batches:
+        for b in pieces(batches):
             p, e, found = [], [], []
             for x in text_bytes(b.column("text")):
                 n, all_of = m.passages(x, memory)
