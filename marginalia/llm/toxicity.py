@@ -91,6 +91,9 @@ class Model:
         if not words:
             return 0, []
         score = np.fromiter(map(memory.__getitem__, words), np.float64, len(words))
+        again = np.flatnonzero(score[1:] == score[:-1]) + 1  # a token said again at once adds no evidence
+        again = again[[words[i] == words[i - 1] for i in again.tolist()]]
+        score[again] = -DRIFT
         at = np.flatnonzero(score > 0)
         if not len(at):
             return len(words), []
@@ -211,7 +214,7 @@ def fit(docs: DataFrame, train: DataFrame) -> Model:
     delta = np.log((t + prior * even / 2 + STEM_PRIOR * even * q) / (c + prior * even / 2 + STEM_PRIOR * even * (1 - q)))
     word[rows["bucket"].to_numpy()] = delta - DRIFT
     seen = st + sc > 0
-    by_stem[seen] = np.log(stem_share[seen] / (1 - stem_share[seen])) / 2 - DRIFT
+    by_stem[seen] = np.log(stem_share[seen] / (1 - stem_share[seen])) - DRIFT
     return Model(word, by_stem, karlin_lambda(delta - DRIFT, clean), 0.1)
 
 
