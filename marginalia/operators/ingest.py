@@ -34,9 +34,11 @@ transform({0}, (e, i) -> named_struct(
 
 def with_lists(records: DataFrame) -> DataFrame:
     """``records`` with author_list and shelf_list, arrays of structs (null where the field is no list)."""
-    df = records.withColumn("_a", _elements("authors")).withColumn("_s", _elements("shelves"))
     shelf = "transform(_s, e -> named_struct('object', coalesce(schema_of_variant(e) like 'OBJECT%', false), 'name', try_variant_get(e, '$.name', 'string'), 'count', try_cast(try_variant_get(e, '$.count', 'string') as bigint)))"
-    return df.withColumn("author_list", F.expr(_AUTHOR.format("_a"))).withColumn("shelf_list", F.expr(shelf)).drop("_a", "_s")
+    # Generators keep the lists from being computed again in each rule that reads them.
+    df = records.select("*", F.inline(F.array(F.struct(_elements("authors").alias("_a"), _elements("shelves").alias("_s")))))
+    both = F.struct(F.expr(_AUTHOR.format("_a")).alias("author_list"), F.expr(shelf).alias("shelf_list"))
+    return df.select(*[c for c in df.columns if c not in ("_a", "_s")], F.inline(F.array(both)))
 
 
 def first_author(authors: Column) -> Column:

@@ -55,7 +55,7 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 3 == 0, F.array(F.struct((k % 7).cast("string").alias("id"), F.lit("Ann").alias("name")), F.struct(F.lit("8").alias("id"), unless(2, F.lit("Bob")).alias("name")))).alias("authors"),
         F.when(k % 37 == 0, F.array().cast("array<struct<name:string,count:bigint>>")).when(k % 31 != 0, F.array(F.struct(F.col("o_orderpriority").alias("name"), (k % 4).alias("count")), F.struct(F.lit(" ").alias("name"), F.lit(1).cast("bigint").alias("count")))).alias("shelves"),
     )
-    lines = table(spark, sf, "orders").select(F.to_json(record).alias("value"))
+    lines = tables.spread(table(spark, sf, "orders")).select(F.to_json(record).alias("value"))
     return lines.union(spark.createDataFrame([("",), ("[1]",), ('[{"id": "1"}]',), ("   ",)], "value string"))
 
 
@@ -266,7 +266,7 @@ def html_unescape_full(spark, sf):
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '(?i)(https?://[^\\s]+|www\\.[^\\s]+)', ' URL ', 'g'),
   '[\\p{L}\\p{N}_.\\-]+@[\\p{L}\\p{N}_.\\-]+\\.[\\p{L}\\p{N}_]+', ' EMAIL ', 'g')), '[^a-z0-9\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}''\\-]+', ' ', 'g'), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) AS description_clean FROM (SELECT doc_id, replace(text, '&amp;', '&') AS text FROM documents)""")
 def clean_text_v1(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", clean.clean_first_generation(F.col("text"), full=False).alias("description_clean"))
+    return tables.spread(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", clean.clean_first_generation(F.col("text"), full=False).alias("description_clean"))
 
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS description_len, substr(text, 1, 4000) AS description_model FROM documents WHERE length(trim(text)) >= 80")
@@ -293,7 +293,7 @@ tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2)"""
 
 
 def docs_of(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").where("text is not null").withColumnRenamed("doc_id", "id")
+    return tables.spread(table(spark, sf, "documents", "doc_id", "text")).where("text is not null").withColumnRenamed("doc_id", "id")
 
 
 def counts_of(spark, sf, n: int = 2):
@@ -334,7 +334,7 @@ norm AS (SELECT id, sqrt(sum(r * r)) AS n FROM raw GROUP BY 1), w AS (SELECT id,
 
 
 def weights_of(spark, sf, n: int = 2, most: int = 80_000):
-    counts = counts_of(spark, sf, n)
+    counts = counts_of(spark, sf, n).persist()
     total, vocab = vocab_of(spark, sf, counts, most)
     return similarity.tfidf(counts, vocab, total)
 
@@ -352,7 +352,7 @@ SELECT id, neighbor_id, sim, CAST(row_number() OVER (PARTITION BY id ORDER BY si
 
 @query(_KNN)
 def tfidf_knn(spark, sf):
-    out = similarity.knn_blocks(weights_of(spark, sf, 1), 10)
+    out = similarity.knn_blocks(weights_of(spark, sf, 1).persist(), 10)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -365,7 +365,7 @@ def tfidf_knn_postings(spark, sf):
 # --- vectors and pair scores -------------------------------------------------------------------------------------
 
 
-@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(v, lambda x: x / n) AS u FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, {V} AS v FROM embeddings)))")
+@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, round(u[1], 6) + 0 AS first FROM (SELECT vec_id, list_transform(v, lambda x: x / n) AS u FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, {V} AS v FROM embeddings)))")
 def vec_l2(spark, sf):
     u = vectors.unit(F.col("embedding"))
     return table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", u.alias("u")).select("vec_id", F.round(F.sqrt(vectors.dot(F.col("u"), F.col("u"))), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
@@ -391,7 +391,7 @@ _PAIRS = "pairs AS (SELECT vec_id AS work_id, vec_id + j AS neighbor_work_id, CA
 _ZERO = f"zero AS (SELECT p.*, CAST(coalesce({_DOT}, 0) AS FLOAT) AS sim_lda FROM pairs p LEFT JOIN u a ON a.id = work_id LEFT JOIN u b ON b.id = neighbor_work_id)"
 
 
-@query(f"WITH {_PAIRS}, {_UNITS}, {_ZERO} SELECT work_id, neighbor_work_id, round(CAST(sim_lda AS DOUBLE), 5) AS sim_lda FROM zero")
+@query(f"WITH {_PAIRS}, {_UNITS}, {_ZERO} SELECT work_id, neighbor_work_id, round(CAST(sim_lda AS DOUBLE), 5) + 0 AS sim_lda FROM zero")
 def score_missing_zero(spark, sf):
     out = ranking.add_similarity(pairs_of(spark, sf), vecs_of(spark, sf), "sim_lda", missing="zero")
     return out.select("work_id", "neighbor_work_id", F.round(F.col("sim_lda").cast("double"), 5).alias("sim_lda"))
@@ -409,7 +409,7 @@ _SCORED = f"""{_PAIRS}, {_UNITS}, scored AS (SELECT p.*, CAST(round(CAST({_DOT}
 _SCORE = "(CAST(sim_tfidf AS DOUBLE) + CAST(sim_lda AS DOUBLE) + CAST(sim_nmf AS DOUBLE)) / 3.0e0"
 
 
-@query(f"WITH {_SCORED} SELECT work_id, neighbor_work_id, round(CAST(sim_lda AS DOUBLE), 6) AS sim_lda, round(CAST(sim_nmf AS DOUBLE), 6) AS sim_nmf FROM scored")
+@query(f"WITH {_SCORED} SELECT work_id, neighbor_work_id, round(CAST(sim_lda AS DOUBLE), 6) + 0 AS sim_lda, round(CAST(sim_nmf AS DOUBLE), 6) + 0 AS sim_nmf FROM scored")
 def scored_pairs(spark, sf):
     return scored_of(spark, sf).select("work_id", "neighbor_work_id", F.round(F.col("sim_lda").cast("double"), 6).alias("sim_lda"), F.round(F.col("sim_nmf").cast("double"), 6).alias("sim_nmf"))
 

@@ -27,12 +27,13 @@ def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
         ))
     else:
         line = line.where(F.col("value").startswith("{"))
-    # The optimizer may parse before it filters; other lines must not reach the parser.
+    # The optimizer may parse before it filters; other lines must not reach the parser. As a generator's input the
+    # record is parsed once, whatever number of its fields later filters look at.
     record = F.when(F.col("value").startswith("{"), F.col("value"))
     mode = {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     if strict:
-        return line.select(F.from_json(record, SCHEMA, mode).alias("r")).select("r.*")
-    parsed = line.select(F.from_json(record, SCHEMA + ", _bad string", mode).alias("r")).select("r.*")
+        return line.select(F.inline(F.array(F.from_json(record, SCHEMA, mode))))
+    parsed = line.select(F.inline(F.array(F.from_json(record, SCHEMA + ", _bad string", mode))))
     return parsed.where("_bad is null").drop("_bad")
 
 

@@ -13,6 +13,12 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, not_n
     return df.dropna(subset=not_null) if not_null else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer tasks than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_sql(spark: SparkSession, path: str, query: str, view: str = "source", **parameters) -> DataFrame:
     """``query`` over the Parquet files at ``path``, named ``view`` in it; values come as named parameters."""
     scan(spark, path).createOrReplaceTempView(view)
