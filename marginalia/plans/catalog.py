@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import argparse
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,16 @@ def build(spark: SparkSession, source: str, out: str, config: Config | None = No
     return ranking.publish_serving(text, keep(scored, "pairs_scored"), k=config.topk)
 
 
-if __name__ == "__main__":
-    import sys
+def main() -> None:
+    args = argparse.ArgumentParser(description=__doc__)
+    args.add_argument("source")
+    args.add_argument("out")
+    for f in fields(Config):
+        kind = float if isinstance(f.default, float) else int
+        args.add_argument("--" + f.name.replace("_", "-"), type=kind, default=f.default)
+    given = vars(args.parse_args())
+    build(SparkSession.builder.getOrCreate(), given.pop("source"), given.pop("out"), Config(**given))
+
 
-    build(SparkSession.builder.getOrCreate(), *sys.argv[1:3])
+if __name__ == "__main__":
+    main()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import clean, sets, tags, text, vectors
 from marginalia.operators import ingest, ranking, similarity, topics, works
-from marginalia.plans import catalog
+from marginalia.plans import catalog, first_generation, report
 from marginalia.sources import jsonl, tables
 from marginalia.streaming import ingest as stream
 
@@ -237,3 +237,23 @@ def test_whole_catalog_and_stream(spark, tmp_path):
     query.awaitTermination(120)
     batch = spark.read.parquet(str(tmp_path / "out/books"))
     assert sorted(r["book_id"] for r in spark.read.parquet(str(tmp_path / "books")).collect()) == sorted(r["book_id"] for r in batch.collect())
+
+
+def test_first_generation(spark):
+    books = ingest.books(ingest.validate(jsonl.parse(spark.createDataFrame([(x,) for x in book_lines(40)], "value string"))).where("reject_reason is null"))
+    shelves = spark.createDataFrame([(i, s, 2) for i in range(40) for s in ("Fantasy", "hugo award")], "book_id long, shelf string, count long")
+    found, text_ = first_generation.candidates(books, shelves, k=4, min_df=2)
+    rows = found.collect()
+    assert rows and all(r["book_id"] != r["neighbor_book_id"] and r["rank_tfidf"] <= 4 and r["genre_overlap"] == 1.0 and r["neighbor_badges_top"] == "hugo award" for r in rows)
+    vecs = first_generation.lda_vectors(text_, 3, 20)
+    scored = first_generation.add_topic_score(found, vecs.where("id < 20"), "sim_lda")
+    assert scored.count() == len(rows) and scored.where("neighbor_book_id >= 20 and sim_lda <> 0").isEmpty()
+    first_generation.publish_serving(books, found, materialize=False)
+    assert spark.sql("SELECT * FROM v_candidates JOIN v_books USING (book_id)").count() == len(rows)
+
+
+def test_reports(spark):
+    assert [report.duration(s) for s in (5, 65, 3725)] == ["5s", "1m 5s", "1h 2m 5s"]
+    out = report.report(spark.createDataFrame([(i, "x" * i) for i in range(300)], "id long, t string"), "id", "t", 2, 10, 3)
+    assert [r["id"] for r in out["later"].collect()] == [10, 11] and out["sample"].count() == 3
+    assert [r["length"] for r in out["lengths"].collect()][-1] == 299 and max(len(r["t"]) for r in out["sample"].collect()) <= 200
