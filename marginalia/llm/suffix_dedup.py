@@ -309,7 +309,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, grou
     want = hits.where("classes > 1").groupBy("key", "extent", "n", "classes").agg(one)
     want = want.groupBy("x.uid").agg(F.collect_list(F.struct("key", "extent", "n", "classes", "x.first", "x.off", "x.windows")).alias("want"))
     dealt = base.repartition("uid")
-    cuts = dealt.join(want, "uid").select("uid", "text", "want").mapInArrow(
+    # The same columns as in the last join, so that the texts are shuffled once for both.
+    cuts = dealt.join(want, "uid").select("uid", "doc_id", "text", "want").mapInArrow(
         _cut(depth), "uid long, key long, extent long, n long, classes long, first long, off short, windows short, bytes binary"
     )
     few = cuts.where(F.col("classes") <= group).repartition("key").sortWithinPartitions("key", "extent")
