@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialize, with_uid
+from .common import flat_bytes, materialize, pieces, with_uid
 
 DEPTH, DIGIT = 400, 200
 #: Extents of one minimizer that a task compares by itself.
@@ -44,7 +44,7 @@ GROUP = 20_000
 #: Bytes hashed at a time; positions that overlap the next part are hashed twice.
 PART = 1 << 18
 #: Bytes of extents that a task compares at a time, unless one group alone has more.
-HOLD = 4 << 20
+HOLD = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -149,7 +149,7 @@ def _cut(depth: int):
     """Bytes of the extents listed in ``want``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             data, bounds = flat_bytes(b.column("text"))
             want = b.column("want")
             row = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy(zero_copy_only=False))
@@ -267,7 +267,7 @@ def _hashes(depth: int):
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         data, bounds = flat_bytes(b.column("text"))
         starts, ends, kept = [], [], []
         for k, spans in enumerate(b.column("spans").to_pylist()):
