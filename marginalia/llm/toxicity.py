@@ -2,7 +2,7 @@
 
 Fit: token counts of toxic and clean labelled documents give each token a log-odds score. Two Dirichlet priors
 smooth it: pseudo-counts in proportion to the token's share of the whole corpus, and pseudo-counts that follow
-the class shares of the token's stem (its first four bytes), so that rare forms borrow from their stem. Tokens
+the class shares of the token's stem (its first five bytes), so that rare forms borrow from their stem. Tokens
 are hashed to a fixed number of buckets, which bounds the model at any corpus size. A constant drift makes the
 expected score of clean text negative.
 
@@ -36,6 +36,7 @@ from .tokens import Remember, is_held_out, labelled_sample
 MAX_TRAIN = 20_000
 #: Buckets of words, stems and corpus shares; bounds of what is collected and broadcast.
 WORDS, STEMS, SHARES = 1 << 18, 1 << 14, 1 << 16
+STEM_BYTES = 5
 #: Pseudo-counts: the whole corpus prior, and the stem's, per token.
 CORPUS_PRIOR, STEM_PRIOR = 2_000.0, 4.0
 #: Taken off each token's log-odds.
@@ -49,7 +50,7 @@ def tokens(data: bytes) -> list[bytes]:
 
 
 def stem(word: bytes) -> int:
-    return crc32(word[:4]) & (STEMS - 1)
+    return crc32(word[:STEM_BYTES]) & (STEMS - 1)
 
 
 def segments(at: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> list[tuple[int, int, float]]:
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, train: DataFrame) -> Model:
     delta = np.log((t + prior * even / 2 + STEM_PRIOR * even * q) / (c + prior * even / 2 + STEM_PRIOR * even * (1 - q)))
     word[rows["bucket"].to_numpy()] = delta - DRIFT
     seen = st + sc > 0
-    by_stem[seen] = np.log(stem_share[seen] / (1 - stem_share[seen])) - DRIFT
+    by_stem[seen] = np.log(stem_share[seen] / (1 - stem_share[seen])) / 2 - DRIFT  # half, as no form of it was seen
     return Model(word, by_stem, karlin_lambda(delta - DRIFT, clean), 0.1)
 
 
