@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -37,7 +38,10 @@ def lda(
     n = fit_on.count()
     upper = float(2**62) if max_df >= 1.0 else max(1.0, max_df * n)
     vectorizer = CountVectorizer(inputCol="terms", outputCol="features", minDF=min_df, maxDF=upper, vocabSize=features).fit(fit_on)
-    model = LDA(k=topics, maxIter=iterations, optimizer="online", subsamplingRate=0.05 if online else 1.0, seed=seed).fit(vectorizer.transform(fit_on))
+    # Each iteration reads the term counts again.
+    counted = vectorizer.transform(fit_on).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    model = LDA(k=topics, maxIter=iterations, optimizer="online", subsamplingRate=0.05 if online else 1.0, seed=seed).fit(counted)
+    counted.unpersist()
     vectors = model.transform(vectorizer.transform(tokens)).select("id", vector_to_array("topicDistribution").cast("array<float>").alias("vec"))
     return model, vectorizer, vectors
 

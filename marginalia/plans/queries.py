@@ -561,7 +561,7 @@ def random_sample(spark, sf):
 
 
 def _lda(spark, sf):
-    return topics.lda(docs_of(spark, sf), topics=8, features=5000, iterations=5, fit_docs=5000)
+    return topics.lda(docs_of(spark, sf), fit_docs=None)
 
 
 @query()
