@@ -362,6 +362,19 @@ def tfidf_knn_postings(spark, sf):
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query()
+def tfidf_knn_full(spark, sf):
+    """On 1- and 2-grams with 100 neighbours, as the catalog's plan."""
+    out = similarity.knn_blocks(weights_of(spark, sf).persist(), 100)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query()
+def tfidf_knn_postings_full(spark, sf):
+    out = similarity.knn_postings(weights_of(spark, sf), 100).where("sim > 0")
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # --- vectors and pair scores -------------------------------------------------------------------------------------
 
 

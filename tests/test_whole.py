@@ -1,5 +1,9 @@
 """Registered queries on tables where a cut would show."""
 
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from marginalia.plans import queries
@@ -19,3 +23,26 @@ def test_lda_is_fitted_on_all_documents(spark, late):
     assert {"late0", "late1", "end0", "end1", "note", "early0"} <= set(vectorizer.vocabulary)
     assert model.getK() == 50 and model.getMaxIter() == 10 and vectorizer.getVocabSize() == 50_000
     assert vectors.count() == 5040
+
+
+def test_neighbours_are_those_of_brute_force_over_bigrams(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = [f"{c}{c}" for c in "abcdefghij"]
+    texts = [list(rng.choice(words, 7)) for _ in range(130)]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = [Counter([*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))]) for t in texts]
+    df = Counter(term for c in counts for term in c)
+    vocab = sorted(term for term, n in df.items() if 10 <= n <= 0.6 * len(texts))
+    assert any(" " in term for term in vocab)
+    x = np.array([[c[term] * (math.log((1 + len(texts)) / (1 + df[term])) + 1) for term in vocab] for c in counts])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    sim = x @ x.T
+    np.fill_diagonal(sim, 0.0)
+    best = -np.sort(-sim, axis=1)[:, :100]
+    for query in (queries.tfidf_knn_full, queries.tfidf_knn_postings_full):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == int((best > 0).sum()) and max(r["rank"] for r in rows) == 100
+        assert len({(r["id"], r["neighbor_id"]) for r in rows}) == len({(r["id"], r["rank"]) for r in rows}) == len(rows)
+        for r in rows:
+            assert r["sim"] == pytest.approx(sim[r["id"], r["neighbor_id"]], abs=1e-6)
+            assert r["sim"] == pytest.approx(best[r["id"], r["rank"] - 1], abs=1e-6)
