@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 
+#: Entries of sparse rows that are solved at a time, at most (unless one row has more).
+ENTRIES = 1 << 16
 
 def fit_slice(docs: DataFrame, most: int | None, id_column: str = "id", seed: int | None = None) -> DataFrame:
     """The documents that a model is fitted on: the first ids, or with a seed a random choice, the same each time."""
@@ -72,12 +74,28 @@ class Nmf:
         return weights.join(numbers, "term").groupBy("id").agg(F.collect_list("i").alias("at"), F.collect_list("w").alias("ws"))
 
     @staticmethod
-    def _solve(x: np.ndarray, h: np.ndarray, gram: np.ndarray, inner: int) -> np.ndarray:
-        xh = x @ h.T
-        w = np.full((len(x), len(h)), max(1e-3, float(np.sqrt(np.abs(x).mean() / len(h)))) if x.size else 0.0)
+    def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, place in them, term, weight) of up to 256 rows and about ENTRIES entries; every row has one at least."""
+        for part in parts:
+            size = part["at"].map(len).to_numpy()
+            lo = 0
+            while lo < len(part):
+                fit = int(np.searchsorted(np.cumsum(size[lo : lo + 256]), ENTRIES, "right"))
+                some = part.iloc[lo : lo + max(1, fit)]
+                doc = np.repeat(np.arange(len(some)), size[lo : lo + len(some)])
+                yield some, doc, np.concatenate(some["at"].tolist()).astype(np.int64), np.concatenate(some["ws"].tolist())
+                lo += len(some)
+
+    @staticmethod
+    def _solve(doc: np.ndarray, at: np.ndarray, ws: np.ndarray, ht: np.ndarray, gram: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
+        """(W, X H') of sparse rows, given as entries in order of rows."""
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        xh = np.add.reduceat(ht[at] * ws[:, None], first, axis=0)
+        mean = float(np.abs(ws).sum()) / (len(xh) * len(ht))
+        w = np.full(xh.shape, max(1e-3, float(np.sqrt(mean / len(gram)))))
         for _ in range(inner):
             w *= xh / np.maximum(w @ gram, 1e-12)
-        return w
+        return w, xh
 
     def fit(self, weights: DataFrame, vocabulary: DataFrame) -> "Nmf":
         """``weights`` (id, term, w), ``vocabulary`` (term), of bounded size."""
@@ -88,32 +106,35 @@ class Nmf:
         rows = self._rows(weights, self.numbers).persist()
         rng = np.random.default_rng(self.seed)
         self.h = rng.random((k, v)) / max(1, v)
-        solve = self._solve
+        solve, blocks = self._solve, self._blocks
         for _ in range(self.iterations):
             shared = spark.sparkContext.broadcast(self.h)
 
             def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 h = shared.value
-                gram = h @ h.T
-                wx, ww, loss = np.zeros((k, v)), np.zeros((k, k)), 0.0
-                for part in parts:
-                    for lo in range(0, len(part), 256):
-                        x = np.zeros((min(256, len(part) - lo), v))
-                        for i, (at, ws) in enumerate(zip(part["at"][lo : lo + 256], part["ws"][lo : lo + 256])):
-                            x[i, at] = ws
-                        w = solve(x, h, gram, inner)
-                        wx += w.T @ x
-                        ww += w.T @ w
-                        loss += float((x * x).sum() - 2 * ((x @ h.T) * w).sum() + ((w @ gram) * w).sum())
-                yield pd.DataFrame({"topic": range(k), "wx": list(wx.astype(np.float32)), "ww": list(ww), "loss": [loss / k] * k})
+                ht, gram = np.ascontiguousarray(h.T), h @ h.T
+                xw, ww, loss = np.zeros((v, k)), np.zeros((k, k)), 0.0
+                for _, doc, at, ws in blocks(parts):
+                    w, xh = solve(doc, at, ws, ht, gram, inner)
+                    order = np.argsort(at, kind="stable")
+                    terms = at[order]
+                    first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+                    xw[terms[first]] += np.add.reduceat(w[doc[order]] * ws[order, None], first, axis=0)
+                    ww += w.T @ w
+                    loss += float((ws * ws).sum() - 2 * (xh * w).sum() + ((w @ gram) * w).sum())
+                yield pd.DataFrame({"topic": range(k), "wx": [x.tobytes() for x in xw.T.astype(np.float32)], "ww": list(ww), "loss": [loss / k] * k})
 
             def add(part: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame({"topic": [part["topic"].iloc[0]], "wx": [np.sum(part["wx"].tolist(), axis=0)], "ww": [np.sum(part["ww"].tolist(), axis=0)], "loss": [part["loss"].sum()]})
+                wx = np.zeros(v)
+                for x in part["wx"]:
+                    wx += np.frombuffer(x, np.float32)
+                return pd.DataFrame({"topic": [part["topic"].iloc[0]], "wx": [wx.astype(np.float32).tobytes()], "ww": [np.sum(part["ww"].tolist(), axis=0)], "loss": [part["loss"].sum()]})
 
-            schema = "topic int, wx array<float>, ww array<double>, loss double"
+            # A topic's sums are bytes: as arrays they would reach the driver as one Python number per term.
+            schema = "topic int, wx binary, ww array<double>, loss double"
             sums = rows.mapInPandas(step, schema).withColumn("some", F.spark_partition_id() % 32).groupBy("topic", "some").applyInPandas(add, schema)
             total = sums.groupBy("topic").applyInPandas(add, schema).toPandas().sort_values("topic")
-            wx, ww = np.array(total["wx"].tolist(), float).reshape(k, v), np.array(total["ww"].tolist(), float)
+            wx, ww = np.array([np.frombuffer(x, np.float32) for x in total["wx"]], float).reshape(k, v), np.array(total["ww"].tolist(), float)
             self.objective.append(float(total["loss"].sum()))
             self.h *= wx / np.maximum(ww @ self.h, 1e-12)
             shared.unpersist()
@@ -124,19 +145,14 @@ class Nmf:
 
     def transform(self, weights: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         """(id, vec); documents of ``ids`` without a known term get a zero vector."""
-        spark, k, v, inner, solve = weights.sparkSession, self.topics, len(self.vocabulary), self.inner * 4, self._solve
+        spark, k, inner, solve, blocks = weights.sparkSession, self.topics, self.inner * 4, self._solve, self._blocks
         shared = spark.sparkContext.broadcast(self.h)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             h = shared.value
-            gram = h @ h.T
-            for part in parts:
-                for lo in range(0, len(part), 256):
-                    some = part.iloc[lo : lo + 256]
-                    x = np.zeros((len(some), v))
-                    for i, (at, ws) in enumerate(zip(some["at"], some["ws"])):
-                        x[i, at] = ws
-                    yield pd.DataFrame({"id": some["id"], "vec": list(solve(x, h, gram, inner).astype(np.float32))})
+            ht, gram = np.ascontiguousarray(h.T), h @ h.T
+            for some, doc, at, ws in blocks(parts):
+                yield pd.DataFrame({"id": some["id"], "vec": list(solve(doc, at, ws, ht, gram, inner)[0].astype(np.float32))})
 
         out = self._rows(weights, self.numbers).mapInPandas(run, "id long, vec array<float>")
         if ids is not None:

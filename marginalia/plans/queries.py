@@ -329,6 +329,11 @@ def vocab_prune(spark, sf):
     return vocab_of(spark, sf, counts_of(spark, sf), 2000)[1]
 
 
+@query(f"WITH {_TERMS}, {_VOCAB.format(80000)} SELECT * FROM vocab")
+def vocab_prune_full(spark, sf):
+    return vocab_of(spark, sf, counts_of(spark, sf))[1]
+
+
 _WEIGHTS = """raw AS (SELECT id, term, tf * (ln((1.0e0 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1.0e0 + df)) + 1.0e0) AS r FROM tf JOIN vocab USING (term)),
 norm AS (SELECT id, sqrt(sum(r * r)) AS n FROM raw GROUP BY 1), w AS (SELECT id, term, r / n AS w FROM raw JOIN norm USING (id))"""
 
@@ -588,10 +593,10 @@ def lda_keywords(spark, sf):
 
 
 def _nmf(spark, sf):
-    counts = counts_of(spark, sf, 1)
-    n, vocab = vocab_of(spark, sf, counts, 2000)
+    counts = counts_of(spark, sf).persist()
+    n, vocab = vocab_of(spark, sf, counts)
     weights = similarity.tfidf(counts, vocab, n).persist()
-    return topics.Nmf(8, iterations=8).fit(weights, vocab), weights
+    return topics.Nmf().fit(weights, vocab), weights
 
 
 @query()

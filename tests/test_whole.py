@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from marginalia.operators import topics
 from marginalia.plans import queries
 
 
@@ -46,3 +47,27 @@ def test_neighbours_are_those_of_brute_force_over_bigrams(spark, tmp_path):
         for r in rows:
             assert r["sim"] == pytest.approx(sim[r["id"], r["neighbor_id"]], abs=1e-6)
             assert r["sim"] == pytest.approx(best[r["id"], r["rank"] - 1], abs=1e-6)
+
+
+def test_nmf_knows_terms_beyond_the_most_frequent(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * 100 + j) % 2500}" for j in range(100))) for i in range(400)]
+    rows += [(400 + i, " ".join(f"rare{j}" for j in range(10))) for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model, weights = queries._nmf(spark, str(tmp_path))
+    assert len(model.vocabulary) > 2500 and {"rare0", "rare0 rare1", "w1 w2"} <= set(model.vocabulary)
+    got = {r["id"]: r["vec"] for r in model.transform(weights, queries.docs_of(spark, str(tmp_path))).collect()}
+    assert len(got) == 410 and all(len(v) == 50 and max(v) > 0 for v in got.values())
+    assert queries.vocab_prune_full(spark, str(tmp_path)).count() == len(model.vocabulary)
+
+
+def test_nmf_solves_sparse_rows_as_dense_ones():
+    rng = np.random.default_rng(2)
+    x, h = rng.random((9, 40)) * (rng.random((9, 40)) < 0.3), rng.random((4, 40))
+    x[:, 0] = 0.5
+    gram = h @ h.T
+    want = np.full((9, 4), max(1e-3, float(np.sqrt(x.mean() / 4))))
+    for _ in range(12):
+        want *= (x @ h.T) / np.maximum(want @ gram, 1e-12)
+    doc, at = np.nonzero(x)
+    got, xh = topics.Nmf._solve(doc, at, x[doc, at], np.ascontiguousarray(h.T), gram, 12)
+    assert np.allclose(got, want) and np.allclose(xh, x @ h.T)
