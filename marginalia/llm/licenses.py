@@ -12,8 +12,11 @@ any such shingle are therefore passed over before their minima are computed; tha
 Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. Templates are a parameter;
 they are compiled into the expression in blocks of bounded size, as many as it takes.
 
-Defined results: null or empty texts, and texts under five words, hold no license; a template under five words is
-an error; repeated rows yield the same; an empty table gives an empty result; other columns are not looked at.
+A template of three or four words is one shingle of its own length: its words must be there in a row, which is
+looked for in the text's words as they stand.
+
+Defined results: null or empty texts hold no license, texts under five words none but such short ones; a template
+under three words is an error; repeated rows yield the same; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, LEAST, BANDS = 5, 0.8, 24
+#: Words of a template, at least.
+SHORTEST = 3
 #: Shingles of the templates compiled into one expression, at most (unless one template has more).
 BLOCK_SHINGLES = 4096
 
 #: Notices and grants as their publishers word them (fixed values).
 TEMPLATES: dict[str, str] = {
+    "all-rights-reserved": "All rights reserved.",
     "mit-notice": "Released under the MIT License.",
     "mit-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -92,7 +98,7 @@ def compile_template(name: str, text: str, bands: int) -> tuple[str, list[int],
     """(name, distinct shingles, bands as (shingle, band, minimum))."""
     words = words_of(text)
     if len(words) < WORDS:
-        raise ValueError(f"template {name} has under {WORDS} words")
+        raise ValueError(f"template {name} has under {SHORTEST} words")
     shingles = list(dict.fromkeys(_xx_words(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)))
     rows = []
     for j in range(bands):
@@ -101,10 +107,9 @@ def compile_template(name: str, text: str, bands: int) -> tuple[str, list[int],
     return name, shingles, rows
 
 
-def word_array(text: Column) -> Column:
-    """Words of a text, in order; one empty word if it has none."""
-    clean = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
-    return F.split(clean, " ")
+def word_text(text: Column) -> Column:
+    """Words of a text, in order, with single spaces between."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
 def _long(x: int) -> Column:
@@ -133,15 +138,18 @@ def _test(h: str, spots: str, compiled: list) -> tuple[Column, str]:
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int = BANDS) -> DataFrame:
     """doc_id and licenses (names of the templates found, in order) of each row of ``docs``."""
-    compiled = [compile_template(n, t, bands) for n, t in templates.items()]
+    short = {n: w for n, t in templates.items() if SHORTEST <= len(w := words_of(t)) < WORDS}
+    compiled = [compile_template(n, t, bands) for n, t in templates.items() if n not in short]
     blocks: list[list] = []
     for c in compiled:
         if not blocks or sum(len(x[1]) for x in blocks[-1]) + len(c[1]) > BLOCK_SHINGLES:
             blocks.append([])
         blocks[-1].append(c)
-    out = docs.select("doc_id", word_array(F.col("text")).alias("w"))
+    out = docs.select("doc_id", word_text(F.col("text")).alias("words"))
+    held = [F.when(F.concat(F.lit(" "), "words", F.lit(" ")).contains(f" {' '.join(w)} "), F.lit(n)) for n, w in short.items()]
+    out = out.select("doc_id", F.split("words", " ").alias("w"), F.array_compact(F.array(*held)).cast("array<string>").alias("s"))
     hashed = "transform(sequence(0, size(w) - 5), i -> xxhash64(concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])))"
-    out = out.select("doc_id", F.when(F.size("w") >= WORDS, F.expr(hashed)).otherwise(F.array().cast("array<bigint>")).alias("h"))
+    out = out.select("doc_id", "s", F.when(F.size("w") >= WORDS, F.expr(hashed)).otherwise(F.array().cast("array<bigint>")).alias("h"))
     parts = []
     for k, block in enumerate(blocks):
         minimal = ", ".join(f"{x}L" for x in sorted({x for _, _, b in block for x, _, _ in b}))
@@ -150,12 +158,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int =
         rows, test = _test("h", f"p{k}", block)
         out = out.withColumn(f"t{k}", F.when(F.size(f"p{k}") > 0, rows))
         parts.append(F.expr(f"coalesce(transform(filter(t{k}, t -> {test}), t -> t.name), cast(array() as array<string>))"))
-    return out.select("doc_id", F.array_sort(F.concat(*parts) if parts else F.array().cast("array<string>")).alias("licenses"))
+    return out.select("doc_id", F.array_sort(F.concat("s", *parts)).alias("licenses"))
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"),
-        F.exists("licenses", lambda x: x.rlike("^(gpl|cc-by-nc|cc-by-sa|mpl)")).alias("restricted"),
+        F.exists("licenses", lambda x: x.rlike("^(all-rights|gpl|cc-by-nc|cc-by-sa|mpl)")).alias("restricted"),
     )
