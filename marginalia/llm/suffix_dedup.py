@@ -22,7 +22,10 @@ held by one task.
 Digits are compared by 64-bit polynomial hashes within groups that agreed so far; a false match would need the
 minimizer's and the digit's hashes to collide for the same two places.
 
-Defined results: a null text is empty; texts shorter than ``depth`` are never touched and removed bytes are
+The same order is run over words ([^\\x20\\x09-\\x0D]+, as they are) through ``word_depth`` tokens: passages of that
+many words are often under ``depth`` bytes. It removes nothing; it counts each document's repeated words.
+
+Defined results: a null text is empty; texts of any length are hashed in parts; texts shorter than ``depth`` are never touched and removed bytes are
 judged on the input; repeated rows and doc_ids are separate documents; an empty table gives an empty result;
 other columns are not looked at.
 """
@@ -38,10 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import flat_bytes, materialize, pieces, with_uid
 
-DEPTH, DIGIT = 400, 200
+DEPTH, DIGIT = 400, 128
+#: Depth and first digit of the order over words.
+WORD_DEPTH, WORD_DIGIT = 50, 16
 #: Extents of one minimizer that a task compares by itself.
 GROUP = 20_000
-#: Bytes hashed at a time; positions that overlap the next part are hashed twice.
+#: Symbols hashed at a time; positions that overlap the next part are hashed twice.
 PART = 1 << 18
 #: Bytes of extents that a task compares at a time, unless one group alone has more.
 HOLD = 1 << 20
@@ -59,7 +64,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes of any range of a byte array, modulo 2 ** 64."""
+    """Polynomial hashes of any range of bytes or of other symbols' codes, modulo 2 ** 64."""
 
     up = down = np.zeros(0, np.uint64)
 
@@ -68,7 +73,7 @@ class Hasher:
         if len(Hasher.up) < n:
             Hasher.up, Hasher.down = _powers(BASE, n + 1024), _powers(INVERSE, n + 1024)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(CODE[data] * Hasher.up[: n - 1], out=self.sums[1:])
+        np.cumsum((CODE[data] if data.dtype == np.uint8 else data) * Hasher.up[: n - 1], out=self.sums[1:])
 
     def windows(self, width: int) -> np.ndarray:
         return (self.sums[width:] - self.sums[:-width]) * Hasher.down[: len(self.sums) - width]
@@ -83,10 +88,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each word of the rows, and the rows' n + 1 borders in words; a word ends with its row."""
+    inside = ~IS_SPACE[data]
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    tail[:-1] &= ~inside[1:]
+    border = bounds[1:-1]
+    border = border[(border > 0) & (border < len(data))]
+    head[border], tail[border - 1] = inside[border], inside[border - 1]
+    first, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    codes, at = np.zeros(len(first), np.uint64), 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(end, first[at] + PART, "right")))
+        size = end[at:to] - first[at:to]
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(begin, size)
+        if len(Hasher.up) <= size.max():
+            Hasher.up, Hasher.down = _powers(BASE, int(size.max()) + 1024), _powers(INVERSE, int(size.max()) + 1024)
+        sums = np.add.reduceat(CODE[data[np.repeat(first[at:to], size) + place]] * Hasher.up[place], begin)
+        codes[at:to] = mix(sums + mix(size.astype(np.uint64)))
+        at = to
+    return codes, np.searchsorted(first, bounds)
+
+
+def symbols(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes or word codes of the texts, one after another, and the n + 1 borders of the rows."""
+    data, bounds = flat_bytes(column)
+    return word_codes(data, bounds) if words else (data, bounds)
+
+
 def minimizers(data: np.ndarray, bounds: np.ndarray, depth: int, digit: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Per part of the text: (row, minimizer hash, extent hash, first window, minimizer's offset in it, windows).
 
-    ``data`` holds the rows' bytes one after another, ``bounds`` their n + 1 borders; windows across a border
+    ``data`` holds the rows' bytes (or word codes) one after another, ``bounds`` their n + 1 borders; windows across a border
     take no part. An extent is also cut where a part ends, which costs work in the last pass, never a match.
     """
     span, low = depth - digit + 1, np.uint64((1 << 20) - 1)
@@ -117,26 +156,26 @@ def minimizers(data: np.ndarray, bounds: np.ndarray, depth: int, digit: int) ->
         yield row, key.view(np.int64), extent.view(np.int64), first + begin - bounds[row], off, count
 
 
-def _batches(depth: int, digit: int, batches: Iterator[pa.RecordBatch]):
-    for b in batches:
-        data, bounds = flat_bytes(b.column("text"))
+def _batches(words: bool, depth: int, digit: int, batches: Iterator[pa.RecordBatch]):
+    for b in pieces(batches):
+        data, bounds = symbols(b.column("text"), words)
         parts = list(minimizers(data, bounds, depth, digit))
         if parts:
             yield b, [np.concatenate(x) for x in zip(*parts)]
 
 
-def _count(depth: int, digit: int):
+def _count(words: bool, depth: int, digit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (_, key, extent, *_rest) in _batches(depth, digit, batches):
+        for _, (_, key, extent, *_rest) in _batches(words, depth, digit, batches):
             extent, at, n = np.unique(extent, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(extent), pa.array(n)], names=["key", "extent", "n"])
 
     return run
 
 
-def _locate(depth: int, digit: int):
+def _locate(words: bool, depth: int, digit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (row, key, extent, first, off, count) in _batches(depth, digit, batches):
+        for b, (row, key, extent, first, off, count) in _batches(words, depth, digit, batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column("uid").take(pa.array(row)), pa.array(key), pa.array(extent), pa.array(first), pa.array(off.astype(np.int16)), pa.array(count.astype(np.int16))],
                 names=["uid", "key", "extent", "first", "off", "windows"],
@@ -145,12 +184,12 @@ def _locate(depth: int, digit: int):
     return run
 
 
-def _cut(depth: int):
-    """Bytes of the extents listed in ``want``."""
+def _cut(words: bool, depth: int):
+    """Bytes (or word codes, as bytes) of the extents listed in ``want``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            data, bounds = flat_bytes(b.column("text"))
+            data, bounds = symbols(b.column("text"), words)
             want = b.column("want")
             row = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy(zero_copy_only=False))
             one = want.flatten()
@@ -165,14 +204,14 @@ def _cut(depth: int):
     return run
 
 
-def repeated_windows(key: np.ndarray, off: np.ndarray, count: np.ndarray, texts: list[bytes], depth: int, digit: int = 64) -> np.ndarray:
+def repeated_windows(key: np.ndarray, off: np.ndarray, count: np.ndarray, texts: list[bytes], depth: int, digit: int = 64, kind: type = np.uint8) -> np.ndarray:
     """For extents of any minimizers: a flag for each window, extent by extent, true if another extent has its bytes.
 
     Radix passes, most significant digit first, over the windows that share a minimizer and its offset; a
     window alone in its group leaves.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
+    data = np.frombuffer(b"".join(texts), kind)
+    base = np.concatenate([[0], np.cumsum([len(t) // data.itemsize for t in texts])])[:-1]
     which = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
     start = base[which] + step
@@ -206,7 +245,7 @@ def runs_of(flags: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which[head], at[head] - base, at[tail] - base
 
 
-def _compare(depth: int):
+def _compare(words: bool, depth: int):
     """Whole groups of one minimizer at a time; rows come sorted by key."""
     names = ["uid", "key", "n", "first", "off", "windows"]
 
@@ -214,7 +253,7 @@ def _compare(depth: int):
         t = pa.Table.from_batches(held).combine_chunks()
         uid, key, n, first, off, count = (t.column(x).to_numpy() for x in names)
         count = count.astype(np.int64)
-        flags = repeated_windows(key, off.astype(np.int64), count, t.column("bytes").to_pylist(), depth)
+        flags = repeated_windows(key, off.astype(np.int64), count, t.column("bytes").to_pylist(), depth, *((8, np.uint64) if words else ()))
         which, lo, hi = runs_of(flags, count)
         one = n[which] == 1  # others are removed whole
         which, lo, hi = which[one], lo[one], hi[one]
@@ -248,14 +287,14 @@ def _split(held: list[pa.RecordBatch], key: int) -> tuple[list[pa.RecordBatch],
     return [x for x in whole if x.num_rows], [x for x in rest if x.num_rows]
 
 
-def _hashes(depth: int):
+def _hashes(words: bool, depth: int):
     """A row for each window of the extents, for groups too large for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uid, key, n, first, off, count = (b.column(x).to_numpy() for x in ("uid", "key", "n", "first", "off", "windows"))
             for k, text in enumerate(b.column("bytes").to_pylist()):
-                wide = mix(Hasher(np.frombuffer(text, np.uint8)).windows(depth)).view(np.int64)
+                wide = mix(Hasher(np.frombuffer(text, np.uint64 if words else np.uint8)).windows(depth)).view(np.int64)
                 m = int(count[k])
                 at = np.arange(m)
                 yield pa.RecordBatch.from_arrays(
@@ -266,69 +305,87 @@ def _hashes(depth: int):
     return run
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         data, bounds = flat_bytes(b.column("text"))
-        starts, ends, kept = [], [], []
+        starts, ends, kept, n_words, n_repeated = [], [], [], [], []
         for k, spans in enumerate(b.column("spans").to_pylist()):
-            merged: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in spans or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
+            spans = spans or ()
+            runs = _merged([(x["start"], x["end"]) for x in spans if not x["words"]])
             text = data[bounds[k] : bounds[k + 1]].tobytes()
             at, parts = 0, []
-            for i, j in merged:
+            for i, j in runs:
                 parts.append(text[at:i])
                 at = j
             kept.append(b"".join([*parts, text[at:]]))
-            starts.append([i for i, _ in merged])
-            ends.append([j for _, j in merged])
+            starts.append([i for i, _ in runs])
+            ends.append([j for _, j in runs])
+            n_words.append(len(text.split()))
+            n_repeated.append(sum(j - i for i, j in _merged([(x["start"], x["end"]) for x in spans if x["words"]])))
+        long = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [b.column("uid"), b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.large_binary()).cast(pa.binary())],
-            names=["uid", "doc_id", "n_bytes", "starts", "ends", "kept"],
+            [b.column("uid"), b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(starts, long), pa.array(ends, long), pa.array(kept, pa.large_binary()).cast(pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_repeated, pa.int64())],
+            names=["uid", "doc_id", "n_bytes", "starts", "ends", "kept", "n_words", "n_repeated_words"],
         )
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, group: int = GROUP) -> DataFrame:
-    """Per row of ``docs``: uid, doc_id, n_bytes, starts and ends of the removed byte runs, kept (the other bytes).
-
-    ``docs`` is scanned more than once and must yield the same rows in the same partitions each time, as files do.
-    """
-    base = with_uid(docs.select("doc_id", "text"))
+def _spans(base: DataFrame, dealt: DataFrame, words: bool, depth: int, digit: int, group: int) -> DataFrame:
+    """(uid, start, end) of windows, or runs of them, that start anywhere else too; in bytes or in words."""
     texts = base.select("uid", "text")
-    counts = texts.mapInArrow(_count(depth, digit), "key long, extent long, n long").repartition("key")
+    counts = texts.mapInArrow(_count(words, depth, digit), "key long, extent long, n long").repartition("key")
     per = Window.partitionBy("key")
     counts = counts.groupBy("key", "extent").agg(F.sum("n").alias("n"))
     shared = counts.withColumn("all", F.sum("n").over(per)).withColumn("classes", F.count("*").over(per)).where(F.col("all") > 1).drop("all")
-    places = texts.mapInArrow(_locate(depth, digit), "uid long, key long, extent long, first long, off short, windows short")
+    places = texts.mapInArrow(_locate(words, depth, digit), "uid long, key long, extent long, first long, off short, windows short")
     hits = materialize(places.join(shared, ["key", "extent"]))
 
     one = F.min(F.struct("uid", "first", "off", "windows")).alias("x")
     want = hits.where("classes > 1").groupBy("key", "extent", "n", "classes").agg(one)
     want = want.groupBy("x.uid").agg(F.collect_list(F.struct("key", "extent", "n", "classes", "x.first", "x.off", "x.windows")).alias("want"))
-    dealt = base.repartition("uid")
-    # The same columns as in the last join, so that the texts are shuffled once for both.
+    # The same columns as in the last join, so that the texts are shuffled once for all.
     cuts = dealt.join(want, "uid").select("uid", "doc_id", "text", "want").mapInArrow(
-        _cut(depth), "uid long, key long, extent long, n long, classes long, first long, off short, windows short, bytes binary"
+        _cut(words, depth), "uid long, key long, extent long, n long, classes long, first long, off short, windows short, bytes binary"
     )
     few = cuts.where(F.col("classes") <= group).repartition("key").sortWithinPartitions("key", "extent")
-    spans = few.mapInArrow(_compare(depth), "uid long, start long, end long")
+    spans = few.mapInArrow(_compare(words, depth), "uid long, start long, end long")
     if not hits.where(F.col("classes") > group).isEmpty():
-        rows = cuts.where(F.col("classes") > group).mapInArrow(_hashes(depth), "key long, off long, window long, uid long, n long, start long")
+        rows = cuts.where(F.col("classes") > group).mapInArrow(_hashes(words, depth), "key long, off long, window long, uid long, n long, start long")
         twice = rows.groupBy("key", "off", "window").count().where("count > 1")
         many = rows.where("n = 1").join(twice, ["key", "off", "window"], "left_semi")
         spans = spans.union(many.selectExpr("uid", "start", f"start + {depth} as end"))
-    spans = spans.union(hits.where("n > 1").selectExpr("uid", "first as start", f"first + windows - 1 + {depth} as end"))
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.union(hits.where("n > 1").selectExpr("uid", "first as start", f"first + windows - 1 + {depth} as end"))
+
+
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, group: int = GROUP, word_depth: int = WORD_DEPTH, word_digit: int = WORD_DIGIT) -> DataFrame:
+    """Per row of ``docs``: uid, doc_id, n_bytes, starts and ends of the removed byte runs, kept (the other bytes),
+    n_words and n_repeated_words (words inside any ``word_depth`` words in a row that start anywhere else too).
+
+    ``docs`` is scanned more than once and must yield the same rows in the same partitions each time, as files do.
+    """
+    base = with_uid(docs.select("doc_id", "text"))
+    dealt = base.repartition("uid")
+    spans = _spans(base, dealt, False, depth, digit, group).withColumn("words", F.lit(False))
+    spans = spans.union(_spans(base, dealt, True, word_depth, word_digit, group).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end", "words")).alias("spans"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    return dealt.join(spans, "uid", "left").mapInArrow(_remove, f"uid long, doc_id {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return dealt.join(spans, "uid", "left").mapInArrow(
+        _remove, f"uid long, doc_id {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary, n_words long, n_repeated_words long"
+    )
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words",
     )

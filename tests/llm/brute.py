@@ -76,6 +76,20 @@ def repeats(texts, depth=400):
     return out
 
 
+def repeated_words(texts, depth=50):
+    """(n_words, words inside a window of ``depth`` words that starts anywhere else too) of each text."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + depth]) for w in words for i in range(len(w) - depth + 1))
+    out = []
+    for w in words:
+        hit = set()
+        for i in range(len(w) - depth + 1):
+            if seen[tuple(w[i : i + depth])] > 1:
+                hit.update(range(i, i + depth))
+        out.append((len(w), len(hit)))
+    return out
+
+
 def contamination(texts, items, window=13):
     """(n_words, n_hit, sorted ids) of each text."""
 
