@@ -6,10 +6,11 @@ search can skip; where the shift is zero, the suffix block and the first word se
 comparison of all words confirms an occurrence.
 
 The items are read in blocks of bounded size (``block_bytes`` of text); each block is broadcast on its own and
-a task holds one block's tables at a time, so the benchmark may be of any size.
+a task holds one block's tables at a time, so the benchmark may be of any size. With more than one block a task
+gathers documents up to ``HOLD`` bytes and builds each block's tables once for all of them.
 
-Defined results: null or empty texts have no words, are never hit and count as clean; an item without words
-matches nothing; items with a null item_id hit words but are not listed; repeated items count once, repeated
+Defined results: null or empty texts have no words, are never hit and count as clean; texts of any length are
+searched whole; an item without words matches nothing; items with a null item_id hit words but are not listed; repeated items count once, repeated
 documents each; an empty benchmark leaves every document clean; other columns are not looked at.
 """
 
@@ -26,6 +27,8 @@ from .common import ALNUM, pieces, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 2_000_000
+#: Bytes of documents for which a task builds the tables of each of several blocks.
+HOLD = 32_000_000
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -95,12 +98,27 @@ def broadcast_items(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> lis
     return parts + ([sc.broadcast(block)] if block else [])
 
 
-def scan(texts: list[bytes], parts: list, window: int, held: dict) -> Iterator[tuple[list[bytes], list[tuple[int, int]], set[str]]]:
-    """For each text its words, the merged word runs that are hit and the ids of the items found.
+def gathered(batches: Iterator[pa.RecordBatch], parts: list) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, or, if there are several blocks of items, batches of about ``HOLD`` bytes."""
+    if len(parts) < 2:
+        yield from pieces(batches)
+        return
+    held: list[pa.RecordBatch] = []
+    for b in pieces(batches):
+        held.append(b)
+        if sum(x.nbytes for x in held) >= HOLD:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def scan(texts: list[bytes], parts: list, window: int, held: dict) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    """For each text its number of words, the merged word runs that are hit and the ids of the items found.
 
     ``held`` keeps the tables of the block used last from one batch to the next.
     """
-    split = [words_of(x) for x in texts]
+    sizes = [0 for _ in texts]
     runs: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
     for k, part in enumerate(parts):
@@ -108,19 +126,23 @@ def scan(texts: list[bytes], parts: list, window: int, held: dict) -> Iterator[t
             held.clear()
             held.update(k=k, tables=WuManber(part.value, window))
         tables = held["tables"]
-        for i, words in enumerate(split):
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            sizes[i] = len(words)
             for item, start, end in tables.search(words):
                 runs[i].append((start, end))
                 if tables.ids[item] is not None:
                     items[i].add(tables.ids[item])
-    for words, found, ids in zip(split, runs, items):
+    if not parts:
+        sizes = [len(words_of(x)) for x in texts]
+    for size, found, ids in zip(sizes, runs, items):
         merged: list[tuple[int, int]] = []
         for start, end in sorted(found):
             if merged and start <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
             else:
                 merged.append((start, end))
-        yield words, merged, ids
+        yield size, merged, ids
 
 
 def is_contaminated(n_words: int, n_hit: int, share: int = 20) -> bool:
@@ -136,15 +158,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for b in pieces(batches):
+        for b in gathered(batches, parts):
             n_words, n_hit, items, runs, bad = [], [], [], [], []
-            for words, merged, ids in scan(text_bytes(b.column("text")), parts, window, held):
+            for size, merged, ids in scan(text_bytes(b.column("text")), parts, window, held):
                 hit = sum(end - start for start, end in merged)
-                n_words.append(len(words))
+                n_words.append(size)
                 n_hit.append(hit)
                 items.append(sorted(ids))
                 runs.append([{"start": s, "end": e} for s, e in merged])
-                bad.append(is_contaminated(len(words), hit))
+                bad.append(is_contaminated(size, hit))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, run_type), pa.array(bad, pa.bool_())],
                 names=["doc_id", "n_words", "n_hit", "items", "runs", "contaminated"],
@@ -153,15 +175,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return base.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, runs array<struct<start:long,end:long>>, contaminated boolean")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without contaminated documents; no column changes and nothing is shuffled."""
-    parts = broadcast_items(benchmark)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold any window of an item, so that none of the benchmark is left.
+
+    With ``share`` only those go whose hit words are at least one in ``share`` of their words. No column changes
+    and nothing is shuffled.
+    """
+    parts = broadcast_items(benchmark, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for b in pieces(batches):
+        for b in gathered(batches, parts):
             found = scan(text_bytes(b.column("text")), parts, window, held)
-            yield b.filter(pa.array([not is_contaminated(len(w), sum(e - s for s, e in merged)) for w, merged, _ in found], pa.bool_()))
+            yield b.filter(pa.array([not (is_contaminated(n, sum(e - s for s, e in merged), share) if share else merged) for n, merged, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
