@@ -7,7 +7,7 @@ what a probe fetches is verified over all 64 bits.
 
 Defined results: a null text counts as empty and has fingerprint zero, which links like any other; repeated
 rows and equal texts share a class; a null doc_id is passed over when the smallest id of a class is taken
-(null if a class has no other); an empty table gives an empty result; columns other than doc_id and text are
+(null if a class has no other); texts of any length are read whole; an empty table gives an empty result; columns other than doc_id and text are
 not looked at.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialize, pieces, text_bytes, with_uid
-from .graph import connected_components, forest
+from .graph import connected_components, forest, join_hubs
 
 #: Segment (width, radius) for radius 4, by the number of distinct fingerprints up to which they are used.
 PLANS = ((200_000_000, ((22, 1), (22, 1), (20, 0))), (1 << 62, ((32, 2), (32, 1))))
@@ -143,8 +143,9 @@ def classes(prints: DataFrame, radius: int = 4, plan: tuple | None = None, block
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = connected_components(links(distinct.select("fp"), radius, plan, block), "a", "b")
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return linked.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    linked = materialize(linked.select("fp", "root", "least_id"))
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    return join_hubs(linked.select("fp", "root"), least, "root", linked.count()).select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, plan: tuple | None = None, block: int = BLOCK) -> DataFrame:
