@@ -1,6 +1,10 @@
 """A corpus from documents: quality, near-duplicates, benchmark leaks, source weights, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+Null and empty texts are documents like others: the classifier scores them, they are copies of each other, they
+hold no part of a benchmark, and they weigh nothing in the mix. Texts of any length are read whole. Repeated rows
+are copies; a null doc_id or source is kept (null ids last, null sources as one source). An empty table stays
+empty through every stage.
 ``run`` writes each stage's result to the shared checkpoint folder and reads it for the next one.
 """
 
@@ -14,28 +18,31 @@ from marginalia.llm.tokens import is_held_out
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is fitted on labelled documents of the input."""
+    """Documents that the quality classifier accepts; it is fitted on labelled documents of the input.
+
+    Without usable labels every score is 0.5 and every document goes.
+    """
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~is_held_out(4, 2))
     return quality.drop_rejected(docs, weights)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the one with the smallest doc_id, ties to the first row."""
     return simhash.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no large part of a benchmark item."""
+    """Documents without any window of 13 words of a benchmark item (or any whole shorter item)."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; one that isn't taken goes, none is taken over 3 times."""
     return mixing.mix(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each document."""
+    """The shard and slot of each document, one row for each that the mix took."""
     return sharding.digest(sharding.shard(docs))
 
 
