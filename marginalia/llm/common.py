@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -19,10 +20,16 @@ ALNUM = bytes(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; one of our own is set only where the session names none."""
+    """The shared checkpoint folder; one of our own is set only where the session names none.
+
+    That is a temporary folder in a process of its own (master local), else a folder in the shared warehouse.
+    """
     ctx = spark.sparkContext._jsc.sc()
     if ctx.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marginalia-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and re.fullmatch(r"local(\[.*\])?", ctx.master()):
+            named = tempfile.mkdtemp(prefix="marginalia-")
+        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return ctx.getCheckpointDir().get()
 
 
@@ -32,6 +39,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fence(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row: the optimizer moves neither filters nor projections
+    through a generator, so no later condition makes it compute them again."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """Adds a row id that is the same each time the same files are scanned."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -15,8 +15,11 @@ they are compiled into the expression in blocks of bounded size, as many as it t
 A template of three or four words is one shingle of its own length: its words must be there in a row, which is
 looked for in the text's words as they stand.
 
+Shingles and results are computed once a row, whatever filter, join or grouping follows.
+
 Defined results: null or empty texts hold no license, texts under five words none but such short ones; a template
-under three words is an error; repeated rows yield the same; an empty table gives an empty result; other columns are not looked at.
+under three words is an error; repeated rows yield the same; a text of any length is read whole, in time linear in its words; an empty table
+gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fence
+
 WORDS, LEAST, BANDS = 5, 0.8, 24
 #: Words of a template, at least.
 SHORTEST = 3
@@ -149,7 +154,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int =
     held = [F.when(F.concat(F.lit(" "), "words", F.lit(" ")).contains(f" {' '.join(w)} "), F.lit(n)) for n, w in short.items()]
     out = out.select("doc_id", F.split("words", " ").alias("w"), F.array_compact(F.array(*held)).cast("array<string>").alias("s"))
     hashed = "transform(sequence(0, size(w) - 5), i -> xxhash64(concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])))"
-    out = out.select("doc_id", "s", F.when(F.size("w") >= WORDS, F.expr(hashed)).otherwise(F.array().cast("array<bigint>")).alias("h"))
+    out = fence(out, h=F.when(F.size("w") >= WORDS, F.expr(hashed)).otherwise(F.array().cast("array<bigint>"))).select("doc_id", "s", "h")
     parts = []
     for k, block in enumerate(blocks):
         minimal = ", ".join(f"{x}L" for x in sorted({x for _, _, b in block for x, _, _ in b}))
@@ -158,7 +163,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int =
         rows, test = _test("h", f"p{k}", block)
         out = out.withColumn(f"t{k}", F.when(F.size(f"p{k}") > 0, rows))
         parts.append(F.expr(f"coalesce(transform(filter(t{k}, t -> {test}), t -> t.name), cast(array() as array<string>))"))
-    return out.select("doc_id", F.array_sort(F.concat("s", *parts)).alias("licenses"))
+    return fence(out, licenses=F.array_sort(F.concat("s", *parts))).select("doc_id", "licenses")
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
