@@ -5,13 +5,13 @@ virtual nodes; a document goes to the first one clockwise whose shard isn't full
 its part of the rows per shard, counts differ by one at most; with ``slack`` above 0 fewer documents move when
 shards are added.
 
-The ring is cut into ``CELLS`` cells. Only the number of rows in each cell goes to the driver (a bounded
+The ring is cut into 2 ** ``CELL_BITS`` cells. Only the number of rows in each cell goes to the driver (a bounded
 table); the clockwise walk there yields, for each cell, the shards that its rows fall to and from which rank.
-Cells that hold a large share of all rows (a hot group of equal texts) are cut again by row, so no window has
-more than a bounded share.
+Cells with over ``HOT`` times the mean (a hot group of equal texts) are cut again by row into parts of about the
+mean, so no window has more than ``HOT`` means of rows and there are fewer than two parts a cell on average.
 
 Defined results: a null text is empty (size 1, crc 0); repeated rows are rows of their own; fewer rows than
-shards leave shards empty; an empty table gives an empty result; other columns are not looked at.
+shards leave shards empty; texts of any length are hashed whole and not shuffled; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from .common import materialize, with_uid
 
 SHARDS, NODES = 16, 256
-CELL_BITS = 16
-#: A cell with more than this share of the rows is hot and is cut into HOT_CELLS.
-HOT_SHARE, HOT_CELLS = 1 / 256, 1024
+CELL_BITS = 14
+#: A cell with more than so many times the mean rows of a cell, and more than HOT_ROWS, is hot.
+HOT, HOT_ROWS = 4, 1000
 
 
 def ring(shards: int, nodes: int = NODES) -> tuple[list[int], list[int]]:
@@ -70,11 +70,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, slack: floa
     base = materialize(base.withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int")))
     per = {r["cell"]: r["count"] for r in base.groupBy("cell").count().collect()}  # 2 ** CELL_BITS rows at most
     total = sum(per.values())
-    hot = [c for c, n in per.items() if n > max(1000, HOT_SHARE * total)]  # fewer than 1 / HOT_SHARE
-    base = base.withColumn("sub", F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("uid"), F.lit(HOT_CELLS))).otherwise(0).cast("int") if hot else F.lit(0))
-    cells = [(c, 0, n) for c, n in per.items() if c not in set(hot)]
+    mean = max(HOT_ROWS / HOT, total / (1 << CELL_BITS))
+    hot = {c: -(-n // int(mean)) for c, n in per.items() if n > HOT * mean}  # fewer than cells / HOT, with fewer parts than cells
+    cells = [(c, 0, n) for c, n in per.items() if c not in hot]
     if hot:
-        cells += [tuple(r) for r in base.where(F.col("cell").isin(hot)).groupBy("cell", "sub").count().collect()]
+        parts = F.broadcast(docs.sparkSession.createDataFrame(list(hot.items()), "cell int, parts int"))
+        base = base.join(parts, "cell", "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        cells += [tuple(r) for r in base.join(parts, "cell", "left_semi").groupBy("cell", "sub").count().collect()]
+    else:
+        base = base.withColumn("sub", F.lit(0))
     pieces = walk(cells, capacities(total, shards, slack), nodes)
     schema = T.StructType([T.StructField(c, T.IntegerType() if c in ("cell", "sub", "shard") else T.LongType()) for c in ("cell", "sub", "lo", "hi", "shard", "slot0")])
     dealt = F.broadcast(docs.sparkSession.createDataFrame(pieces, schema))  # a row for each cell, and for each cut by a full shard
