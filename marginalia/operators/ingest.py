@@ -18,17 +18,24 @@ def _elements(name: str) -> Column:
 
 
 #: Of a list element that is an object: its id (author_id, or id where that is null, empty or zero) and its name.
+#: Each field is taken out of the element once.
 _AUTHOR = """
-transform({0}, (e, i) -> named_struct(
-  'at', i,
-  'object', coalesce(schema_of_variant(e) like 'OBJECT%', false),
-  'id', case
-    when schema_of_variant(try_variant_get(e, '$.author_id', 'variant')) = 'STRING' and try_variant_get(e, '$.author_id', 'string') <> ''
-      then try_variant_get(e, '$.author_id', 'string')
-    when schema_of_variant(try_variant_get(e, '$.author_id', 'variant')) not in ('STRING', 'VOID') and coalesce(try_variant_get(e, '$.author_id', 'double') <> 0, true)
-      then try_variant_get(e, '$.author_id', 'string')
-    else try_variant_get(e, '$.id', 'string') end,
-  'name', try_variant_get(e, '$.name', 'string')))
+transform(
+  transform({0}, (e, i) -> struct(
+    i as at,
+    coalesce(schema_of_variant(e) like 'OBJECT%', false) as object,
+    schema_of_variant(try_variant_get(e, '$.author_id', 'variant')) as kind,
+    try_variant_get(e, '$.author_id', 'string') as own,
+    try_variant_get(e, '$.id', 'string') as other,
+    try_variant_get(e, '$.name', 'string') as name)),
+  x -> named_struct(
+    'at', x.at,
+    'object', x.object,
+    'id', case
+      when x.kind = 'STRING' and x.own <> '' then x.own
+      when x.kind not in ('STRING', 'VOID') and coalesce(try_cast(x.own as double) <> 0, x.own <> 'false') then x.own
+      else x.other end,
+    'name', x.name))
 """
 
 
