@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.tags import kind, normal_name
 
 
+#: Parts that the rows of one name are dealt to.
+PARTS = 16
+
+
+def with_kinds(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with shelf and kind of their raw name, found once for each of ``names``.
+
+    The rows of a name are dealt over ``PARTS``, since a few names hold most rows; where the names turn out to be
+    few the join becomes a broadcast at run time.
+    """
+    known = names.withColumn("shelf", normal_name(F.col("raw")))
+    known = known.withColumn("kind", kind(F.col("shelf"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("work_id"), F.lit(PARTS)).cast("int"))
+    return dealt.join(known, ["raw", "part"]).drop("part")
+
+
 def tag_sums(shelves: DataFrame, editions: DataFrame, min_count: int = 1, reaggregate: bool = False) -> DataFrame:
     """(work_id, shelf, count, kind) of tags that are kept.
 
@@ -17,8 +33,7 @@ def tag_sums(shelves: DataFrame, editions: DataFrame, min_count: int = 1, reaggr
     named = shelves.select("book_id", F.trim("shelf").alias("raw"), "count").where("raw is not null and raw <> ''")
     joined = named.join(editions.select("book_id", "work_id").where("work_id is not null"), "book_id")
     sums = joined.groupBy("work_id", "raw").agg(F.sum(F.coalesce("count", F.lit(0))).cast("bigint").alias("count"))
-    sums = sums.where(F.col("count") >= min_count).withColumn("shelf", normal_name(F.col("raw")))
-    sums = sums.withColumn("kind", kind(F.col("shelf"))).where("kind <> 'drop'")
+    sums = with_kinds(sums.where(F.col("count") >= min_count), named.select("raw").distinct()).where("kind <> 'drop'")
     if reaggregate:
         sums = sums.groupBy("work_id", "shelf", "kind").agg(F.sum("count").alias("count"))
     return sums.select("work_id", "shelf", "count", "kind")
