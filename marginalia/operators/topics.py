@@ -1,4 +1,4 @@
-"""Topic models: LDA, and non-negative matrix factorisation by distributed multiplicative updates."""
+"""Topic models: LDA, and non-negative matrix factorisation by alternating coordinate descent."""
 
 from __future__ import annotations
 
@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from .works import top_per
+
+#: Rows and entries of a block of sparse rows, at most (unless one row has more entries).
+ROWS, ENTRIES = 128, 1 << 16
+#: Parts of the topics that a reduction deals out, and partitions whose sums one task adds.
+SLICES, ADDENDS = 10, 32
 
-#: Entries of sparse rows that are solved at a time, at most (unless one row has more).
-ENTRIES = 1 << 16
 
 def fit_slice(docs: DataFrame, most: int | None, id_column: str = "id", seed: int | None = None) -> DataFrame:
     """The documents that a model is fitted on: the first ids, or with a seed a random choice, the same each time."""
@@ -48,117 +53,232 @@ def lda(
     return model, vectorizer, vectors
 
 
+def top_words(weights: DataFrame, most: int = 15) -> DataFrame:
+    """(topic, top_words) from (topic, word, w): the heaviest words, ties by word, joined by |."""
+    rows = top_per(weights, "topic", [F.desc("w"), F.asc("word")], most, rank="n")
+    listed = F.array_sort(F.collect_list(F.struct("n", "word")))
+    return rows.groupBy(F.col("topic").cast("long").alias("topic")).agg(F.array_join(F.transform(listed, lambda x: x["word"]), "|").alias("top_words"))
+
+
 def lda_keywords(model: LDAModel, vectorizer: CountVectorizerModel, most: int = 15) -> DataFrame:
     """(topic, top_words): the heaviest words, joined by |."""
-    words = F.array(*[F.lit(w) for w in vectorizer.vocabulary]) if len(vectorizer.vocabulary) <= 2000 else None
     top = model.describeTopics(most)
-    if words is None:
-        known = top.sparkSession.createDataFrame(list(enumerate(vectorizer.vocabulary)), "i int, word string")
-        rows = top.select("topic", F.posexplode("termIndices").alias("n", "i")).join(known, "i")
-        listed = F.array_sort(F.collect_list(F.struct("n", "word")))
-        return rows.groupBy("topic").agg(F.array_join(F.transform(listed, lambda x: x["word"]), "|").alias("top_words")).select(F.col("topic").cast("long").alias("topic"), "top_words")
-    return top.select(F.col("topic").cast("long").alias("topic"), F.array_join(F.transform("termIndices", lambda i: F.get(words, i)), "|").alias("top_words"))
+    known = top.sparkSession.createDataFrame(list(enumerate(vectorizer.vocabulary)), "i int, word string")
+    rows = top.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("topic", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("w"))
+    return top_words(rows.join(known, "i"), most)
+
+
+def save_lda(model: LDAModel, vectorizer: CountVectorizerModel, path: str) -> None:
+    model.write().overwrite().save(f"{path}/model")
+    vectorizer.write().overwrite().save(f"{path}/vectorizer")
+
+
+def load_lda(path: str) -> tuple[LDAModel, CountVectorizerModel]:
+    """What ``save_lda`` wrote; needs a running session."""
+    from pyspark.ml.clustering import DistributedLDAModel, LocalLDAModel
+
+    kind = SparkSession.active().read.text(f"{path}/model/metadata").first()[0]
+    return (DistributedLDAModel if "DistributedLDAModel" in kind else LocalLDAModel).load(f"{path}/model"), CountVectorizerModel.load(f"{path}/vectorizer")
 
 
 class Nmf:
-    """X ~ W H with non-negative factors. H (topics x terms) is broadcast each round and bounded by the vocabulary;
-    W is solved row by row from H, so rounds need no state on executors. Sums of W'X are reduced in two steps."""
+    """X ~ W H with non-negative factors, from the sparse rows of X.
+
+    Rows are packed once into blocks, of which each holds its own distinct terms, so a block's products with H are
+    small dense ones. H (topics x terms) is broadcast each round and bounded by the vocabulary. W is solved row by
+    row from H, so rounds need no state on executors; the sums W'X and W'W are reduced in two steps, and H is
+    solved from them topic by topic. H starts from the singular vectors of X (``nndsvda``: the positive or
+    negative part of each, whichever is heavier, with the mean of X for zeros), found by subspace iteration, or
+    at random.
+    """
 
-    def __init__(self, topics: int = 50, iterations: int = 30, inner: int = 12, seed: int = 42, tolerance: float = 1e-4):
-        self.topics, self.iterations, self.inner, self.seed, self.tolerance = topics, iterations, inner, seed, tolerance
+    def __init__(self, topics: int = 50, iterations: int = 300, inner: int = 8, seed: int = 42, tolerance: float = 1e-4, start: str = "nndsvda"):
+        self.topics, self.iterations, self.inner, self.seed, self.tolerance, self.start = topics, iterations, inner, seed, tolerance, start
         self.h = np.zeros((topics, 0))
         self.vocabulary: list[str] = []
         self.objective: list[float] = []
 
-    def _rows(self, weights: DataFrame, numbers: DataFrame) -> DataFrame:
-        return weights.join(numbers, "term").groupBy("id").agg(F.collect_list("i").alias("at"), F.collect_list("w").alias("ws"))
+    @staticmethod
+    def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows: their ids, distinct terms, and for each entry its place in the dense block and weight."""
+        for b in batches:
+            size = b.column("at").value_lengths().to_numpy()
+            at, ws = b.column("at").flatten().to_numpy(), b.column("ws").flatten().to_numpy()
+            ends, lo = np.cumsum(size), 0
+            while lo < len(size):
+                base = ends[lo] - size[lo]
+                hi = max(lo + 1, min(lo + ROWS, int(np.searchsorted(ends, base + ENTRIES, "right"))))
+                some, place = np.unique(at[base : ends[hi - 1]], return_inverse=True)
+                place = place + np.repeat(np.arange(hi - lo), size[lo:hi]) * len(some)
+                cols = [some.astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), ws[base : ends[hi - 1]].astype(np.float32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("id")[lo:hi].to_pylist()], pa.list_(pa.int64())), *[pa.array([c], pa.binary()) for c in cols]], names=["ids", "some", "place", "ws"])
+                lo = hi
 
     @staticmethod
-    def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, place in them, term, weight) of up to 256 rows and about ENTRIES entries; every row has one at least."""
-        for part in parts:
-            size = part["at"].map(len).to_numpy()
-            lo = 0
-            while lo < len(part):
-                fit = int(np.searchsorted(np.cumsum(size[lo : lo + 256]), ENTRIES, "right"))
-                some = part.iloc[lo : lo + max(1, fit)]
-                doc = np.repeat(np.arange(len(some)), size[lo : lo + len(some)])
-                yield some, doc, np.concatenate(some["at"].tolist()).astype(np.int64), np.concatenate(some["ws"].tolist())
-                lo += len(some)
+    def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, np.ndarray, np.ndarray]]:
+        """(ids, terms, dense rows over these terms) of each block."""
+        for b in batches:
+            for k in range(b.num_rows):
+                some, place, ws = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("some", np.int32), ("place", np.int32), ("ws", np.float32)))
+                ids = b.column("ids")[k]
+                x = np.zeros((len(ids), len(some)), np.float32)
+                x.ravel()[place] = ws
+                yield ids, some, x
 
     @staticmethod
-    def _solve(doc: np.ndarray, at: np.ndarray, ws: np.ndarray, ht: np.ndarray, gram: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
-        """(W, X H') of sparse rows, given as entries in order of rows."""
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        xh = np.add.reduceat(ht[at] * ws[:, None], first, axis=0)
-        mean = float(np.abs(ws).sum()) / (len(xh) * len(ht))
-        w = np.full(xh.shape, max(1e-3, float(np.sqrt(mean / len(gram)))))
-        for _ in range(inner):
-            w *= xh / np.maximum(w @ gram, 1e-12)
-        return w, xh
+    def _solve(xh: np.ndarray, gram: np.ndarray, sweeps: int) -> np.ndarray:
+        """W from X H' and H H', by coordinate descent from zero; topics x rows."""
+        xh = np.ascontiguousarray(xh.T)
+        w, diagonal = np.zeros_like(xh), np.maximum(gram.diagonal(), 1e-12)
+        for _ in range(sweeps):
+            for j in range(len(gram)):
+                w[j] = np.maximum(0, w[j] + (xh[j] - gram[j] @ w) / diagonal[j])
+        return w
+
+    def _blocks(self, weights: DataFrame) -> DataFrame:
+        rows = weights.join(self.numbers, "term").groupBy("id").agg(F.collect_list("i").alias("at"), F.collect_list("w").alias("ws"))
+        return rows.mapInArrow(self._pack, "ids array<long>, some binary, place binary, ws binary")
+
+    def _reduced(self, blocks: DataFrame, step, small: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sums over all partitions of what ``step`` makes of one: a matrix of terms x columns and some numbers.
+
+        A slice of columns travels as bytes; sums are added per ``ADDENDS`` partitions, then over these.
+        """
+        v = len(self.vocabulary)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wide, few = step(batches)
+            for k, part in enumerate(np.array_split(wide, SLICES, axis=1)):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.ascontiguousarray(part, np.float32).tobytes()], pa.binary()), pa.array([(few / SLICES).tobytes()], pa.binary())], names=["slice", "wide", "few"])
+
+        def add(part: pd.DataFrame) -> pd.DataFrame:
+            wide, few = np.frombuffer(part["wide"].iloc[0], np.float32).astype(float), np.zeros(small)
+            for x in part["wide"].iloc[1:]:
+                wide += np.frombuffer(x, np.float32)
+            for x in part["few"]:
+                few += np.frombuffer(x)
+            return pd.DataFrame({"slice": part["slice"].iloc[:1], "wide": [wide.astype(np.float32).tobytes()], "few": [few.tobytes()]})
+
+        schema = "slice long, wide binary, few binary"
+        sums = blocks.mapInArrow(run, schema)
+        if self.parts > ADDENDS:
+            sums = sums.withColumn("some", F.spark_partition_id() % ADDENDS).groupBy("slice", "some").applyInPandas(add, schema)
+        total = sums.groupBy("slice").applyInPandas(add, schema).toPandas().sort_values("slice")
+        wide = [np.frombuffer(x, np.float32).reshape(v, -1) if v else np.zeros((0, 1)) for x in total["wide"]]
+        return np.concatenate(wide, axis=1).astype(float), np.sum([np.frombuffer(x) for x in total["few"]], axis=0)
+
+    def _products(self, blocks: DataFrame, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """X'X Q, and for each column of X Q the squares of its positive and its negative part, then the sum of X."""
+        dense, shared = self._dense, blocks.sparkSession.sparkContext.broadcast(q.astype(np.float32))
+
+        def step(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            q = shared.value
+            out, few = np.zeros(q.shape, np.float32), np.zeros(2 * q.shape[1] + 1)
+            for _, some, x in dense(batches):
+                y = x @ q[some]
+                out[some] += x.T @ y
+                few += np.r_[(np.maximum(y, 0) ** 2).sum(axis=0), (np.minimum(y, 0) ** 2).sum(axis=0), x.sum(dtype=float)]
+            return out, few
+
+        found = self._reduced(blocks, step, 2 * q.shape[1] + 1)
+        shared.unpersist()
+        return found
+
+    def _singular_start(self, blocks: DataFrame, rows: int, more: int = 10, rounds: int = 3) -> np.ndarray:
+        k, v = self.topics, len(self.vocabulary)
+        q = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((v, min(v, k + more))))[0]
+        for _ in range(rounds):
+            z, _few = self._products(blocks, q)
+            least, last = q, z
+            q = np.linalg.qr(z)[0]
+        value, e = np.linalg.eigh(least.T @ last)
+        order = np.argsort(-value)[:k]
+        vectors, s = least @ e[:, order], np.sqrt(np.maximum(value[order], 0))
+        _, few = self._products(blocks, vectors)
+        n = len(order)
+        up, un, mean = np.sqrt(few[:n]), np.sqrt(few[n : 2 * n]), few[-1] / max(1, rows * v)
+        h = np.full((k, v), mean)
+        for j in range(n):
+            p, m = np.maximum(vectors[:, j], 0), np.maximum(-vectors[:, j], 0)
+            a, b = np.linalg.norm(p), np.linalg.norm(m)
+            # The norms of X v are s times those of u; the first vector has one sign.
+            side, size = (p / max(a, 1e-12), up[j] * a) if up[j] * a >= un[j] * b else (m / max(b, 1e-12), un[j] * b)
+            h[j] = np.where(side > 0, np.sqrt(size) * side, mean)
+        return h
 
     def fit(self, weights: DataFrame, vocabulary: DataFrame) -> "Nmf":
         """``weights`` (id, term, w), ``vocabulary`` (term), of bounded size."""
-        spark, k, inner = weights.sparkSession, self.topics, self.inner
+        spark, k, sweeps = weights.sparkSession, self.topics, self.inner
         self.vocabulary = [r["term"] for r in vocabulary.select("term").orderBy("term").collect()]
         self.numbers = spark.createDataFrame(list(enumerate(self.vocabulary)), "i int, term string")
-        v = len(self.vocabulary)
-        rows = self._rows(weights, self.numbers).persist()
-        rng = np.random.default_rng(self.seed)
-        self.h = rng.random((k, v)) / max(1, v)
-        solve, blocks = self._solve, self._blocks
-        for _ in range(self.iterations):
-            shared = spark.sparkContext.broadcast(self.h)
-
-            def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, self.objective = len(self.vocabulary), []
+        blocks = self._blocks(weights).persist(StorageLevel.MEMORY_AND_DISK)
+        each = blocks.select(F.size("ids").alias("n"), F.spark_partition_id().alias("p"))
+        rows, self.parts = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("p")).first()
+        if self.start == "nndsvda" and rows and v:
+            self.h = self._singular_start(blocks, rows)
+        else:
+            self.h = np.random.default_rng(self.seed).random((k, v)) / max(1, v)
+        solve, dense = self._solve, self._dense
+        for _ in range(self.iterations if rows and v else 0):
+            shared = spark.sparkContext.broadcast(self.h.astype(np.float32))
+
+            def step(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
                 h = shared.value
                 ht, gram = np.ascontiguousarray(h.T), h @ h.T
-                xw, ww, loss = np.zeros((v, k)), np.zeros((k, k)), 0.0
-                for _, doc, at, ws in blocks(parts):
-                    w, xh = solve(doc, at, ws, ht, gram, inner)
-                    order = np.argsort(at, kind="stable")
-                    terms = at[order]
-                    first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
-                    xw[terms[first]] += np.add.reduceat(w[doc[order]] * ws[order, None], first, axis=0)
-                    ww += w.T @ w
-                    loss += float((ws * ws).sum() - 2 * (xh * w).sum() + ((w @ gram) * w).sum())
-                yield pd.DataFrame({"topic": range(k), "wx": [x.tobytes() for x in xw.T.astype(np.float32)], "ww": list(ww), "loss": [loss / k] * k})
-
-            def add(part: pd.DataFrame) -> pd.DataFrame:
-                wx = np.zeros(v)
-                for x in part["wx"]:
-                    wx += np.frombuffer(x, np.float32)
-                return pd.DataFrame({"topic": [part["topic"].iloc[0]], "wx": [wx.astype(np.float32).tobytes()], "ww": [np.sum(part["ww"].tolist(), axis=0)], "loss": [part["loss"].sum()]})
-
-            # A topic's sums are bytes: as arrays they would reach the driver as one Python number per term.
-            schema = "topic int, wx binary, ww array<double>, loss double"
-            sums = rows.mapInPandas(step, schema).withColumn("some", F.spark_partition_id() % 32).groupBy("topic", "some").applyInPandas(add, schema)
-            total = sums.groupBy("topic").applyInPandas(add, schema).toPandas().sort_values("topic")
-            wx, ww = np.array([np.frombuffer(x, np.float32) for x in total["wx"]], float).reshape(k, v), np.array(total["ww"].tolist(), float)
-            self.objective.append(float(total["loss"].sum()))
-            self.h *= wx / np.maximum(ww @ self.h, 1e-12)
+                wx, ww, loss = np.zeros(ht.shape, np.float32), np.zeros(gram.shape), 0.0
+                for _, some, x in dense(batches):
+                    xh = x @ ht[some]
+                    w = solve(xh, gram, sweeps)
+                    wx[some] += x.T @ w.T
+                    ww += w @ w.T
+                    loss += float((x * x).sum(dtype=float) - 2 * (xh.T * w).sum(dtype=float) + ((gram @ w) * w).sum(dtype=float))
+                return wx, np.r_[ww.ravel(), loss]
+
+            wx, few = self._reduced(blocks, step, k * k + 1)
+            ww, wx = few[:-1].reshape(k, k), wx.T
+            self.objective.append(float(few[-1]))
             shared.unpersist()
             if len(self.objective) > 1 and self.objective[-2] - self.objective[-1] < self.tolerance * self.objective[0]:
                 break
-        rows.unpersist()
+            for _ in range(2):
+                for j in np.flatnonzero(ww.diagonal() > 1e-12):
+                    self.h[j] = np.maximum(0, self.h[j] + (wx[j] - ww[j] @ self.h) / ww[j, j])
+        blocks.unpersist()
         return self
 
     def transform(self, weights: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         """(id, vec); documents of ``ids`` without a known term get a zero vector."""
-        spark, k, inner, solve, blocks = weights.sparkSession, self.topics, self.inner * 4, self._solve, self._blocks
-        shared = spark.sparkContext.broadcast(self.h)
+        spark, k, sweeps, solve, dense = weights.sparkSession, self.topics, self.inner * 4, self._solve, self._dense
+        shared = spark.sparkContext.broadcast(self.h.astype(np.float32))
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = shared.value
             ht, gram = np.ascontiguousarray(h.T), h @ h.T
-            for some, doc, at, ws in blocks(parts):
-                yield pd.DataFrame({"id": some["id"], "vec": list(solve(doc, at, ws, ht, gram, inner)[0].astype(np.float32))})
+            for ids, some, x in dense(batches):
+                w = solve(x @ ht[some], gram, sweeps).T.astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(list(w), pa.list_(pa.float32()))], names=["id", "vec"])
 
-        out = self._rows(weights, self.numbers).mapInPandas(run, "id long, vec array<float>")
+        out = self._blocks(weights).mapInArrow(run, "id long, vec array<float>")
         if ids is not None:
             out = ids.select("id").join(out, "id", "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), k)))
         return out
 
-    def keywords(self, spark, most: int = 15) -> DataFrame:
+    def keywords(self, spark: SparkSession, most: int = 15) -> DataFrame:
         top = np.argsort(-self.h, axis=1, kind="stable")[:, :most]
-        return spark.createDataFrame([(t, "|".join(self.vocabulary[i] for i in row)) for t, row in enumerate(top.tolist())], "topic long, top_words string")
+        rows = [(t, self.vocabulary[i], float(self.h[t, i])) for t, row in enumerate(top.tolist()) for i in row]
+        return top_words(spark.createDataFrame(rows, "topic long, word string, w double"), most)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The factors H and the vocabulary, as Parquet."""
+        spark.createDataFrame([(t, h.tolist()) for t, h in enumerate(self.h)], "topic int, h array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/factors")
+        self.numbers.coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Nmf":
+        factors = spark.read.parquet(f"{path}/factors").orderBy("topic").collect()
+        out = cls(len(factors))
+        out.numbers = spark.read.parquet(f"{path}/vocabulary")
+        out.vocabulary = [r["term"] for r in out.numbers.orderBy("i").collect()]
+        out.h = np.array([r["h"] for r in factors]).reshape(len(factors), len(out.vocabulary))
+        return out

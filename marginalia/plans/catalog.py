@@ -79,9 +79,11 @@ def build(spark: SparkSession, source: str, out: str, config: Config | None = No
     model, vectorizer, lda = topics.lda(docs, topics=config.topics, fit_docs=config.lda_docs, features=config.lda_features, min_df=config.min_df, max_df=config.max_df)
     lda = keep(lda, "topics_lda")
     keep(topics.lda_keywords(model, vectorizer), "keywords_lda")
+    topics.save_lda(model, vectorizer, f"{out}/model_lda")
     nmf = topics.Nmf(config.topics).fit(weights, vocab)
     vectors = keep(nmf.transform(weights, docs), "topics_nmf")
     keep(nmf.keywords(spark), "keywords_nmf")
+    nmf.save(spark, f"{out}/model_nmf")
     scored = ranking.add_similarity(ranking.add_similarity(pairs, lda, "sim_lda"), vectors, "sim_nmf")
     return ranking.publish_serving(text, keep(scored, "pairs_scored"), k=config.topk)
 
