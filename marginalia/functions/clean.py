@@ -53,15 +53,18 @@ def rating_map(dist: Column) -> Column:
     """'5:10|4:2|total:12' as a struct of five counts and the total; the last of equal keys holds.
 
     A count takes part only where its piece is one digit, a colon and digits; the total may be any integer.
+    Take the fields out with ``F.inline(F.array(...))``, so that the text is cut once and not for each of them.
     """
-    parts = F.transform(F.split(dist, r"\|"), strip)
 
-    def last(pattern: str, to: str) -> Column:
-        fit = F.filter(parts, lambda p: p.rlike(pattern))
-        return F.when(F.size(fit) > 0, F.regexp_replace(F.element_at(fit, -1), to, "").try_cast("bigint"))
+    def of(parts: Column) -> Column:
+        def last(pattern: str, to: str) -> Column:
+            fit = F.filter(parts, lambda p: p.rlike(pattern))
+            return F.regexp_replace(F.try_element_at(fit, F.lit(-1)), to, "").try_cast("bigint")
 
-    stars = [last(rf"^{k}:[0-9]+$", r"^\d:").alias(f"rating_{k}") for k in (5, 4, 3, 2, 1)]
-    return F.struct(*stars, last("^total:", "^total:").alias("rating_total"))
+        stars = [last(rf"^{k}:[0-9]+$", r"^\d:").alias(f"rating_{k}") for k in (5, 4, 3, 2, 1)]
+        return F.struct(*stars, last("^total:", "^total:").alias("rating_total"))
+
+    return F.get(F.transform(F.array(F.transform(F.split(dist, r"\|"), strip)), of), F.lit(0))
 
 
 def strip_tags(c: Column) -> Column:

@@ -102,13 +102,13 @@ def books(kept: DataFrame, full_entities: bool = True) -> DataFrame:
     """One flat row per record."""
     long = {c: to_long(F.col(c)) for c in ("work_id", "author_id", "ratings_count", "text_reviews_count", "series_id", "series_position")}
     pages, stars = to_long(F.col("num_pages")), rating_map(F.col("rating_dist"))
-    return kept.withColumn("stars", stars).select(
+    return kept.select("*", F.inline(F.array(stars))).select(
         to_long(F.col("id")).alias("book_id"), long["work_id"].alias("work_id"), "title", long["author_id"].alias("author_id"), "author_name",
         "language", "isbn", "isbn13", "publisher", "publication_date", "original_publication_date",
         year_of_either(F.col("publication_date"), F.col("original_publication_date")).cast("bigint").alias("publication_year"),
         pages.alias("num_pages"), page_bucket(pages).alias("page_bucket"), to_double(F.col("average_rating")).alias("average_rating"),
         long["ratings_count"].alias("ratings_count"), long["text_reviews_count"].alias("text_reviews_count"), "rating_dist",
-        *[F.col(f"stars.{c}") for c in ("rating_5", "rating_4", "rating_3", "rating_2", "rating_1", "rating_total")],
+        "rating_5", "rating_4", "rating_3", "rating_2", "rating_1", "rating_total",
         F.col("description").alias("description_raw"), description_or_null(F.col("description"), full_entities).alias("description"),
         "format", "edition_information", "image_url", long["series_id"].alias("series_id"), "series_name", long["series_position"].alias("series_position"),
     )

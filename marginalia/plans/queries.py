@@ -119,7 +119,7 @@ def parse_map_string(spark, sf):
     four = F.when(F.col("l_linenumber") % 2 == 0, q.cast("string")).otherwise("x")
     dist = F.concat_ws("|", F.concat(F.lit("5:"), q.cast("string")), F.concat(F.lit(" 4:"), four), F.lit("3:7"), F.concat(F.lit("5:"), (q + 1).cast("string")), F.concat(F.lit("total:"), (q * 2).cast("string")), F.lit("9:1"), F.lit("12:4"))
     rows = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
-    return rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), clean.rating_map(dist).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.inline(F.array(clean.rating_map(dist))))
 
 
 @query("""SELECT o_orderkey, coalesce(nullif(TRY_CAST(nullif(regexp_extract(a, '\\b(\\d{4})\\b', 1), '') AS INTEGER), 0), TRY_CAST(nullif(regexp_extract(b, '\\b(\\d{4})\\b', 1), '') AS INTEGER)) AS y
