@@ -15,7 +15,8 @@ white space, a quote or an angle bracket, with a host), secret (a cue such as to
 and a value of at least 6 characters with a digit), account (an iban cue and an IBAN that passes its check).
 
 Defined results: null texts are empty and have no span; places are code points, ends exclusive; repeated rows
-yield the same; an empty table gives an empty result; other columns are not looked at.
+yield the same; texts of any length are read whole, in time linear in them (no parser walks a stretch twice for
+more than a bounded number of characters); an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ VALUE = LETTERS | DIGITS | frozenset("_./+=-")
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "access_key")
 ACCOUNT_CUES = ("iban",)
+LONGEST_IBAN = 34
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -71,7 +73,7 @@ def luhn(digits: str) -> bool:
 
 
 def iban_valid(value: str) -> bool:
-    if not (15 <= len(value) <= 34 and value[:2].isalpha() and value[2:4].isdigit()):
+    if not (15 <= len(value) <= LONGEST_IBAN and value[:2].isalpha() and value[2:4].isdigit()):
         return False
     return int("".join(str(int(c, 36)) for c in (value[4:] + value[:4]).upper())) % 97 == 1
 
@@ -144,21 +146,33 @@ def ips_in(t: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def secret_after(t: str, end: int) -> tuple[int, int] | None:
-    """Value after a cue: spaces, one of = or :, spaces, an optional quote, the value."""
-    i = _ahead(t, end, frozenset("\"' "))
-    if i >= len(t) or t[i] not in "=:":
-        return None
-    i = _ahead(t, i + 1, frozenset("\"' "))
-    to = _ahead(t, i, VALUE)
-    value = t[i:to]
-    return (i, to) if len(value) >= 6 and any(c in DIGITS for c in value) else None
+class Secrets:
+    """Values after cues: spaces, one of = or :, spaces, an optional quote, the value.
+
+    A run of value characters is walked once, however many cues are in it.
+    """
+
+    def __init__(self, t: str):
+        self.t, self.to, self.last_digit = t, -1, -1
+
+    def after(self, end: int) -> tuple[int, int] | None:
+        t = self.t
+        i = _ahead(t, end, frozenset("\"' "))
+        if i >= len(t) or t[i] not in "=:":
+            return None
+        i = _ahead(t, i + 1, frozenset("\"' "))
+        if i >= self.to:
+            self.to = _ahead(t, i, VALUE)
+            self.last_digit = next((k for k in range(self.to - 1, i - 1, -1) if t[k] in DIGITS), -1)
+        return (i, self.to) if self.to - i >= 6 and self.last_digit >= i else None
 
 
 def account_after(t: str, end: int) -> tuple[int, int] | None:
+    """The longest IBAN after a cue; the walk ends with the longest number there is, 34 characters."""
     i = _ahead(t, end, frozenset(" :=#"))
-    to = i
-    while to < len(t) and (t[to] in LETTERS or t[to] in DIGITS or (t[to] == " " and to + 1 < len(t) and (t[to + 1] in DIGITS or t[to + 1].isupper()))):
+    to, held = i, 0
+    while to < len(t) and held < LONGEST_IBAN and (t[to] in LETTERS or t[to] in DIGITS or (t[to] == " " and to + 1 < len(t) and (t[to + 1] in DIGITS or t[to + 1].isupper()))):
+        held += t[to] != " "
         to += 1
     for stop in range(to, i, -1):
         if t[stop - 1] != " " and (stop == len(t) or t[stop] not in LETTERS | DIGITS) and iban_valid(t[i:stop].replace(" ", "")):
@@ -170,6 +184,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
     """Spans of each kind, in order."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = phone_end = card_end = ip_end = url_end = 0
+    secrets = Secrets(text)
     for last, (kind, size) in anchors.iter(text):
         at = last - size + 1
         if kind == "card":
@@ -192,17 +207,16 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
                 if 9 <= sum(c in DIGITS for c in text[at:phone_end]) <= 15:
                     out["phone"].append(found)
         elif kind == "url":
-            if at >= url_end:
+            if at >= url_end and text[last + 1 : last + 2].isalnum():
                 end = last + 1
                 while end < len(text) and text[end] not in LINK_END:
                     end += 1
                 while end > last + 1 and text[end - 1] in ".,;:!?)":
                     end -= 1
-                if end > last + 1 and text[last + 1].isalnum():
-                    url_end = end
-                    out["url"].append((at, end))
+                url_end = end
+                out["url"].append((at, end))
         elif kind == "secret":
-            if found := secret_after(text, last + 1):
+            if found := secrets.after(last + 1):
                 if not out["secret"] or found[0] >= out["secret"][-1][1]:
                     out["secret"].append(found)
         elif found := account_after(text, last + 1):
@@ -235,4 +249,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_url", "n_secret", "n_account")
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+        "n_url", "n_secret", "n_account", F.expr(" + ".join(f"n_{k}" for k in KINDS)).alias("n_pii"),
+    )

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,22 @@ def test_pii_added_kinds():
     assert [text[i:j] for i, j in found["account"]] == ["GB82 WEST 1234 5698 7654 32"]
 
 
+def test_pii_of_very_long_texts():
+    """Time stays linear where one cue follows another, or where a run has no end."""
+    import time
+
+    anchors = pii.automaton()
+    n = 200_000
+    for text in ("iban " + "A1" * n, "iban DE1 " * (n // 9), "token=" * (n // 6), "token=x1" * (n // 8), "http://." * (n // 8), "http://a" * (n // 8), "a@" * (n // 2), "1" * n, "1.1" * (n // 3), "+1" * (n // 2), "+1 (" * (n // 4), "token" + " " * n):
+        began = time.process_time()
+        pii.find(text, anchors)
+        assert time.process_time() - began < 5, text[:20]
+    spans = pii.find("x " * 100_000 + "iban DE89 3704 0044 0532 0130 00 token=abc123def", anchors)
+    assert spans["account"] == [(200_005, 200_032)] and spans["secret"] == [(200_039, 200_048)]
+    inner = pii.find('token=password=abc token="secret:a1b2c3d4', anchors)["secret"]
+    assert inner == [(33, 41)]
+
+
 def test_pii_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -127,6 +144,18 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_with_broadcast_hubs(spark, monkeypatch):
+    """The same components where all but the smallest groups count as hubs."""
+    from marginalia.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 3)
+    test_components_of_chains_and_hubs(spark)
+    rows = spark.createDataFrame([(k, v) for k in (1, 2, 3) for v in range(10 * k * (k < 3))] + [(7, 0)], "u long, v long")
+    values = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = graph.join_hubs(rows, values, "u", rows.count())
+    assert sorted(joined.collect()) == sorted((r["u"], r["v"], 0) for r in rows.collect())
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------
 
 
@@ -135,8 +164,10 @@ def check_contamination(docs, bench, **more):
     want = [(i, *w, w[1] > 0 and 20 * w[1] >= w[0]) for (i, _), w in zip(rows, brute.contamination([t for _, t in rows], items))]
     got = [(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in decontaminate.contamination(docs, bench, **more).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.schema == docs.schema and kept.count() == sum(not w[-1] for w in want)
+    kept = decontaminate.drop_contaminated(docs, bench, **more)
+    assert kept.schema == docs.schema
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((w[0] for w in want if not w[2]), key=str)
+    assert decontaminate.drop_contaminated(docs, bench, share=20, **more).count() == sum(not w[-1] for w in want)
 
 
 def test_contamination_edges(spark):
@@ -148,6 +179,40 @@ def test_contamination_edges(spark):
     check_contamination(docs, bench.limit(0))
 
 
+def test_contamination_of_long_documents(spark):
+    """One benchmark window in a very long text is enough for the filter, not for the flag."""
+    item = " ".join(f"bench{i}" for i in range(30))
+    filler = " ".join(f"f{i % 977}" for i in range(30_000))
+    docs = frame(spark, [(1, f"{filler} {' '.join(item.split()[5:18])} {filler}", "s"), (2, filler, "s"), (3, f"{filler} {' '.join(item.split()[5:17])} end", "s")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (13, False), 2: (0, False), 3: (0, False)}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3]
+
+
+def test_tables_of_many_blocks_are_built_once(monkeypatch):
+    """A task with documents under HOLD builds each of 20 blocks' tables once, however many batches it reads."""
+    built = []
+
+    class Counted(decontaminate.WuManber):
+        def __init__(self, *a):
+            built.append(1)
+            super().__init__(*a)
+
+    class Part:
+        def __init__(self, k):
+            self.value = [(str(k), " ".join(f"b{k}w{i}" for i in range(20)).encode())]
+
+    monkeypatch.setattr(decontaminate, "WuManber", Counted)
+    parts = [Part(k) for k in range(20)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([" ".join(f"b{k}w{i}" for i in range(20))] * 300)], names=["text"]) for k in range(20)]
+    found, held = [], {}
+    for b in decontaminate.gathered(iter(batches), parts):
+        found += [ids for _, _, ids in decontaminate.scan(decontaminate.text_bytes(b.column("text")), parts, 13, held)]
+    assert found == [{str(k)} for k in range(20) for _ in range(300)]
+    assert len(built) == 20
+
+
 def test_contamination_table(spark):
     check_contamination(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
 
@@ -313,6 +378,52 @@ def test_license_table(spark):
         assert exact <= got[r["doc_id"]]
 
 
+def plain_licenses(text):
+    """Templates with 0.8 of their shingles in some window, every window tried; one row of short ones word for word."""
+    w = licenses.words_of(text or "")
+    own = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = set()
+    for name, t in licenses.TEMPLATES.items():
+        v = licenses.words_of(t)
+        if len(v) < 5:
+            if f" {' '.join(v)} " in f" {' '.join(w)} ":
+                out.add(name)
+            continue
+        want = {" ".join(v[i : i + 5]) for i in range(len(v) - 4)}
+        width, step = max(1, (3 * len(want) + 1) // 2), max(1, len(want) // 2)
+        if any(len(want & set(own[a : a + width])) >= 0.8 * len(want) for a in range(0, len(own), step)):
+            out.add(name)
+    return sorted(out)
+
+
+def test_licenses_equal_plain_containment(spark):
+    """Both ways: nothing missed, nothing found that containment doesn't confirm."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(150):
+        words = rng.choice(list(licenses.TEMPLATES.values())).split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = "changed"
+        cut = rng.choice([0, 0, 1, 5])
+        rows.append((i, "lead in " * rng.randrange(9) + " ".join(words[cut:]) + " and so on" * rng.randrange(9), "s"))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {i: plain_licenses(t) for i, t, _ in rows}
+
+
+def test_licenses_under_conditions(spark):
+    """A filter, join or grouping on the result neither changes it nor makes the texts be hashed again."""
+    found = licenses.op7_licenses(spark, SF)
+    want = {r["doc_id"]: r["n_licenses"] for r in found.collect()}
+    some = found.where("n_licenses > 0 and not restricted")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(concat_ws") == 1
+    assert found.where("n_licenses > 0").count() == sum(n > 0 for n in want.values())
+    assert {r["n_licenses"]: r["count"] for r in found.groupBy("n_licenses").count().collect()} == {n: list(want.values()).count(n) for n in want.values()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert docs.join(found.where("n_licenses > 0"), "doc_id").count() == sum(n > 0 for n in want.values())
+
+
 # --- sharding ----------------------------------------------------------------------------------------------------
 
 
@@ -400,6 +511,8 @@ def check_repeats(docs, depth=400, **more):
     got = suffix_dedup.remove_repeats(docs, depth, **more).collect()
     found = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["starts"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got)
     assert found == want
+    words = sorted((r["doc_id"] or -1, *w) for r, w in zip(rows, brute.repeated_words([r["text"] for r in rows], more.get("word_depth", 50))))
+    assert sorted((r["doc_id"] or -1, r["n_words"], r["n_repeated_words"]) for r in got) == words
     return found
 
 
@@ -407,7 +520,8 @@ def test_repeats_edges(spark):
     docs = edge_docs(spark)
     assert any(r[2] for r in check_repeats(docs))
     check_repeats(docs, group=1)
-    check_repeats(docs, depth=40, digit=20)
+    check_repeats(docs, depth=40, digit=20, word_depth=8, word_digit=3)
+    check_repeats(docs, group=1, word_depth=5, word_digit=5)
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
@@ -432,5 +546,24 @@ def test_repeats_of_planted_passages(spark):
         check_repeats(docs, **more)
 
 
+def test_repeats_of_short_passages_by_words(spark):
+    """Passages of over 50 short words, under 400 bytes, are found by words and removed by none."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 6)))
+    passages = [" ".join(word() for _ in range(rng.randrange(51, 70))) for _ in range(12)]
+    texts = [" ".join(word() for _ in range(rng.randrange(100, 400))) for _ in range(90)]
+    planted = {}
+    for i in range(0, 90, 3):
+        words, p = texts[i].split(), rng.choice(passages[:10])
+        cut = rng.randrange(len(words))
+        texts[i] = rng.choice(["\n", "  ", " "]).join([" ".join(words[:cut]), p, " ".join(words[cut:])])
+        planted.setdefault(p, []).append(i)
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for more in ({}, {"group": 1}):
+        check_repeats(docs, **more)
+    found = {r["doc_id"] for r in suffix_dedup.remove_repeats(docs).where("n_repeated_words > 0").collect()}
+    assert found == {i for group in planted.values() if len(group) > 1 for i in group}
+
+
 def test_repeats_table(spark):
     check_repeats(spark.read.parquet(f"{SF}/documents.parquet"))
