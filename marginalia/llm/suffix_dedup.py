@@ -17,7 +17,7 @@ byte (density about 2 / (depth - digit + 2)). Then
    the repeated windows.
 
 A minimizer with more than ``GROUP`` extents does step 3 as an aggregation over window hashes, so no group is
-held by one task.
+held by one task. Steps 1 and 2 count the extents of very frequent minimizers in parts.
 
 Digits are compared by 64-bit polynomial hashes within groups that agreed so far; a false match would need the
 minimizer's and the digit's hashes to collide for the same two places.
@@ -45,7 +45,11 @@ DEPTH, DIGIT = 400, 128
 #: Depth and first digit of the order over words.
 WORD_DEPTH, WORD_DIGIT = 50, 16
 #: Extents of one minimizer that a task compares by itself.
-GROUP = 20_000
+GROUP = 8192
+#: Minimizers with ``SEEN`` extents or more in one text of ``SAMPLE`` are counted in ``PARTS``; the most frequent
+#: ``HOT_KEYS`` of them, which bounds what is broadcast. The sample decides where rows are counted and compared, and
+#: nothing about the result.
+SAMPLE, SEEN, PARTS, HOT_KEYS = 64, 16, 64, 50_000
 #: Symbols hashed at a time; positions that overlap the next part are hashed twice.
 PART = 1 << 18
 #: Bytes of extents that a task compares at a time, unless one group alone has more.
@@ -342,10 +346,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spans(base: DataFrame, dealt: DataFrame, words: bool, depth: int, digit: int, group: int) -> DataFrame:
     """(uid, start, end) of windows, or runs of them, that start anywhere else too; in bytes or in words."""
     texts = base.select("uid", "text")
-    counts = texts.mapInArrow(_count(words, depth, digit), "key long, extent long, n long").repartition("key")
-    per = Window.partitionBy("key")
-    counts = counts.groupBy("key", "extent").agg(F.sum("n").alias("n"))
-    shared = counts.withColumn("all", F.sum("n").over(per)).withColumn("classes", F.count("*").over(per)).where(F.col("all") > 1).drop("all")
+    found = "key long, extent long, n long"
+    some = texts.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).mapInArrow(_count(words, depth, digit), found)
+    some = some.select("key", "extent").distinct().groupBy("key").agg(F.count("*").alias("seen")).where(F.col("seen") >= SEEN)
+    hot = materialize(some.orderBy(F.desc("seen"), "key").limit(HOT_KEYS))
+
+    counts = texts.mapInArrow(_count(words, depth, digit), found).join(F.broadcast(hot), "key", "left")
+    counts = counts.withColumn("part", F.when(F.isnull("seen"), 0).otherwise(F.pmod("extent", F.lit(PARTS)))).repartition("key", "part")
+    counts = counts.groupBy("key", "part", "extent").agg(F.sum("n").alias("n"), F.max("seen").alias("seen"))
+    per = Window.partitionBy("key", "part")
+    shared = counts.withColumn("all", F.sum("n").over(per)).withColumn("classes", F.count("*").over(per))
+    # A minimizer that the sample saw has several extents for sure; how many only decides who compares them.
+    shared = shared.where("all > 1 or seen is not null").select("key", "extent", "n", F.coalesce(F.col("seen") * SAMPLE, "classes").alias("classes"))
     places = texts.mapInArrow(_locate(words, depth, digit), "uid long, key long, extent long, first long, off short, windows short")
     hits = materialize(places.join(shared, ["key", "extent"]))
 
