@@ -8,12 +8,13 @@ expected score of clean text negative.
 
 Score: one linear scan per text (Ruzzo and Tompa) finds every maximal-scoring segment. Karlin-Altschul
 statistics calibrate them: with lambda from the score distribution of clean text, a segment of score S in n
-tokens has the normalised score lambda * S - ln(K n), whose exceedances follow the extreme-value law. A
-document's evidence is the best sum statistic over its r best segments, T_r - ln r!; a monotone logistic
+tokens has the normalised score lambda * S - ln(K n), whose exceedances follow the extreme-value law. K comes
+from the best segments of the clean training texts: the mean of lambda * S - ln n of Gumbel's law is ln K plus
+Euler's constant. A document's evidence is the best sum statistic over its r best segments, T_r - ln r!; a monotone logistic
 curve, fitted to all labelled training documents, turns it into a probability.
 
-Defined results: null or empty texts have no segment and get the model's score for no evidence; repeated rows
-score alike; without usable labels every score is 0.5; other columns are not looked at.
+Defined results: null or empty texts have no segment and get the model's score for no evidence; texts of any
+length are scanned whole, once; repeated rows score alike; without usable labels every score is 0.5; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -219,6 +220,27 @@ def fit(docs: DataFrame, train: DataFrame) -> Model:
     return Model(word, by_stem, karlin_lambda(delta - DRIFT, clean), 0.1)
 
 
+def _estimate_k(model: Model, train: DataFrame) -> Model:
+    """K from the best segment of each clean training text with a token; two sums reach the driver."""
+    shared = train.sparkSession.sparkContext.broadcast(astuple(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value)
+        memory, n_texts, total = Remember(m.token_score), 0, 0.0
+        for b in pieces(batches):
+            for x in text_bytes(b.column("text")):
+                n, found = m.passages(x, memory)
+                if n:
+                    n_texts += 1
+                    total += m.lam * max((s for _, _, s in found), default=0.0) - math.log(n)
+        yield pa.RecordBatch.from_arrays([pa.array([n_texts], pa.int64()), pa.array([total])], names=["n", "total"])
+
+    n, total = train.where("y = 0").mapInArrow(run, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    if n:
+        model.k = math.exp(total / n - float(np.euler_gamma))
+    return model
+
+
 def _calibrate(model: Model, train: DataFrame) -> Model:
     """The curve over evidence, from a histogram of all training documents (at most 2 * BINS rows)."""
     shared = train.sparkSession.sparkContext.broadcast(astuple(model))
@@ -240,7 +262,7 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", most: int = MAX_TRAIN) -> Model:
     sample = labelled_sample(docs, labels, label, keep, most)
-    return _calibrate(fit(docs, sample), sample)
+    return _calibrate(_estimate_k(fit(docs, sample), sample), sample)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
