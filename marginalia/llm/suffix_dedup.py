@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, materialize, pieces, with_uid
+from .common import flat_bytes, materialize, pieces, small_batches, with_uid
 
 DEPTH, DIGIT = 400, 128
 #: Depth and first digit of the order over words.
@@ -51,7 +51,9 @@ GROUP = 8192
 #: nothing about the result.
 SAMPLE, SEEN, PARTS, HOT_KEYS = 64, 16, 64, 50_000
 #: Symbols hashed at a time; positions that overlap the next part are hashed twice.
-PART = 1 << 18
+PART = 1 << 17
+#: Documents whose spans and extents are held at a time.
+SLICE = 256
 #: Bytes of extents that a task compares at a time, unless one group alone has more.
 HOLD = 1 << 20
 
@@ -192,7 +194,7 @@ def _cut(words: bool, depth: int):
     """Bytes (or word codes, as bytes) of the extents listed in ``want``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, SLICE):
             data, bounds = symbols(b.column("text"), words)
             want = b.column("want")
             row = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy(zero_copy_only=False))
@@ -320,7 +322,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
+    for b in pieces(batches, SLICE):
         data, bounds = flat_bytes(b.column("text"))
         starts, ends, kept, n_words, n_repeated = [], [], [], [], []
         for k, spans in enumerate(b.column("spans").to_pylist()):
@@ -349,7 +351,8 @@ def _spans(base: DataFrame, dealt: DataFrame, words: bool, depth: int, digit: in
     found = "key long, extent long, n long"
     some = texts.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).mapInArrow(_count(words, depth, digit), found)
     some = some.select("key", "extent").distinct().groupBy("key").agg(F.count("*").alias("seen")).where(F.col("seen") >= SEEN)
-    hot = materialize(some.orderBy(F.desc("seen"), "key").limit(HOT_KEYS))
+    with small_batches(base.sparkSession):
+        hot = materialize(some.orderBy(F.desc("seen"), "key").limit(HOT_KEYS))
 
     counts = texts.mapInArrow(_count(words, depth, digit), found).join(F.broadcast(hot), "key", "left")
     counts = counts.withColumn("part", F.when(F.isnull("seen"), 0).otherwise(F.pmod("extent", F.lit(PARTS)))).repartition("key", "part")
@@ -359,7 +362,8 @@ def _spans(base: DataFrame, dealt: DataFrame, words: bool, depth: int, digit: in
     # A minimizer that the sample saw has several extents for sure; how many only decides who compares them.
     shared = shared.where("all > 1 or seen is not null").select("key", "extent", "n", F.coalesce(F.col("seen") * SAMPLE, "classes").alias("classes"))
     places = texts.mapInArrow(_locate(words, depth, digit), "uid long, key long, extent long, first long, off short, windows short")
-    hits = materialize(places.join(shared, ["key", "extent"]))
+    with small_batches(base.sparkSession):
+        hits = materialize(places.join(shared, ["key", "extent"]))
 
     one = F.min(F.struct("uid", "first", "off", "windows")).alias("x")
     want = hits.where("classes > 1").groupBy("key", "extent", "n", "classes").agg(one)
@@ -396,6 +400,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, grou
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The digest of all documents. The session keeps Arrow batches of 1,024 rows from here on: the result is computed
+    when it is read, and each batch of whole texts is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
