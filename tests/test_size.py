@@ -20,3 +20,11 @@ def test_terms_are_counted_within_rows(spark):
     assert "HashAggregate" not in plan_of(similarity.term_counts(unique, text.terms(F.col("text"))))
     many = similarity.term_counts(unique, text.terms(F.col("text")))
     assert many.groupBy("term").count().count() == 4
+
+
+def test_parts_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.range(400).select("id", F.lit("some words here " * 20).alias("text"))
+    monkeypatch.setattr(similarity, "PART", 1 << 12)
+    counts = similarity.term_counts(docs, text.terms(F.col("text"), 1))
+    assert counts.rdd.getNumPartitions() == -(-400 * 320 // (1 << 12))
+    assert counts.count() == 800
