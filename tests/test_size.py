@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text
 from marginalia.operators import similarity
+from marginalia.plans import queries
 
 
 def plan_of(df):
@@ -28,3 +29,14 @@ def test_parts_grow_with_the_texts(spark, monkeypatch):
     counts = similarity.term_counts(docs, text.terms(F.col("text"), 1))
     assert counts.rdd.getNumPartitions() == -(-400 * 320 // (1 << 12))
     assert counts.count() == 800
+
+
+def test_vocabulary_is_pruned_from_bounded_parts(spark, tmp_path, monkeypatch):
+    """The vocabulary is the same however finely the texts are dealt, and no task gets more than its part."""
+    rows = [(i, f"every word{i % 3} rare{i}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(similarity, "PART", 1 << 7)
+    counts = queries.counts_of(spark, str(tmp_path))
+    assert counts.rdd.getNumPartitions() >= 8
+    got = {r["term"]: (r["df"], r["cf"]) for r in queries.vocab_prune(spark, str(tmp_path)).collect()}
+    assert got == {**{f"word{k}": (20, 20) for k in range(3)}, **{f"every word{k}": (20, 20) for k in range(3)}}
