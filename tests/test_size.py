@@ -1,9 +1,10 @@
 """Steps whose memory and traffic must not grow with the table."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
-from marginalia.operators import similarity
+from marginalia.operators import similarity, topics
 from marginalia.plans import queries
 
 
@@ -40,3 +41,18 @@ def test_vocabulary_is_pruned_from_bounded_parts(spark, tmp_path, monkeypatch):
     assert counts.rdd.getNumPartitions() >= 8
     got = {r["term"]: (r["df"], r["cf"]) for r in queries.vocab_prune(spark, str(tmp_path)).collect()}
     assert got == {**{f"word{k}": (20, 20) for k in range(3)}, **{f"every word{k}": (20, 20) for k in range(3)}}
+
+
+def test_nmf_sends_one_sum_per_core(spark):
+    """However many parts the blocks have, a round's sums as wide as the vocabulary are as many as tasks run at a time."""
+    rows = spark.range(200).select("id", F.array(F.lit(0), F.lit(1)).alias("at"), F.array(F.lit(0.6), F.lit(0.8)).alias("ws"))
+    model = topics.Nmf(2)
+    model.vocabulary, model.parts = ["aa", "bb"], 40
+    blocks = model.packed(rows.repartition(40))
+
+    def step(batches):
+        n = sum(len(ids) for ids, _, _ in topics.Nmf._dense(batches))
+        return np.full((2, 12), n, np.float32), np.ones(1)
+
+    wide, tasks = model._reduced(blocks, step, 1)
+    assert (wide == 200).all() and round(tasks[0]) <= spark.sparkContext.defaultParallelism
