@@ -56,3 +56,19 @@ def test_nmf_sends_one_sum_per_core(spark):
 
     wide, tasks = model._reduced(blocks, step, 1)
     assert (wide == 200).all() and round(tasks[0]) <= spark.sparkContext.defaultParallelism
+
+
+def test_weights_of_terms_move_no_terms(spark, tmp_path):
+    """Rows of weights equal the joined form; nothing but texts is shuffled for them, repeated ids are one document."""
+    rows = [(i // 2, f"aa{i % 3} bb{i % 2} cc{i % 5}") for i in range(40)] + [(99, "zz")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    words = text.terms(F.col("text"))
+    counts = similarity.term_counts(docs, words)
+    vocab = similarity.vocabulary(counts, 21, 3, 1.0, 50)
+    found, names = similarity.tfidf_rows(docs, words, vocab, 21)
+    want = {(r["id"], r["term"]): r["w"] for r in similarity.tfidf(counts, vocab, 21).collect()}
+    got = {(r["id"], r["term"]): r["w"] for r in similarity.entries(found, names).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "Join" not in plan_of(found) and plan_of(queries.rows_of(spark, "/root/testdata/sf0.001")[0]).count("Exchange") <= 2
+    none, names = similarity.tfidf_rows(docs, words, vocab.limit(0), 21)
+    assert none.count() == 0 and similarity.entries(none, names).count() == 0
