@@ -72,3 +72,29 @@ def test_weights_of_terms_move_no_terms(spark, tmp_path):
     assert "Join" not in plan_of(found) and plan_of(queries.rows_of(spark, "/root/testdata/sf0.001")[0]).count("Exchange") <= 2
     none, names = similarity.tfidf_rows(docs, words, vocab.limit(0), 21)
     assert none.count() == 0 and similarity.entries(none, names).count() == 0
+
+
+def test_neighbours_meet_in_groups(spark):
+    """A row is sent once for each group, not for each block; ties and repeated texts keep their order."""
+    rng = np.random.default_rng(3)
+    at = [sorted(rng.choice(12, 4, replace=False).tolist()) for _ in range(300)]
+    rows = spark.createDataFrame([(i, a, [0.5] * 4) for i, a in enumerate(at)], "id long, at array<int>, ws array<double>")
+    x = np.zeros((300, 12))
+    for i, a in enumerate(at):
+        x[i, a] = 0.5
+    sim = np.round(x @ x.T, 6)
+    np.fill_diagonal(sim, 0)
+    want = {}
+    for i in range(300):
+        order = np.lexsort((np.arange(300), -sim[i]))[:7]
+        want |= {(i, r): (int(j), float(sim[i, j])) for r, j in enumerate(order, 1) if sim[i, j] > 0}
+    for group, block, dense in ((1000, 64, 0.01), (70, 16, 0.01), (70, 16, similarity.NEVER)):
+        found = similarity.knn_rows(rows, 12, 300, 7, dense=dense, group=group, block=block)
+        assert {(r["id"], r["rank"]): (r["neighbor_id"], r["sim"]) for r in found.collect()} == want
+
+
+def test_best_of_slices_keeps_ties_to_the_smaller_id():
+    top = similarity._Top(np.array([5]), 2, 6)
+    for names, sims in (([9, 8, 7], [0.5, 0.5, 0.2]), ([3, 4, 2], [0.5, 0.4, 0.5000001]), ([1, 6, 10], [0.0, 0.1, 0.0])):
+        top.add(0, np.array([sims]), np.array(names))
+    assert top.rows().to_pylist() == [{"id": 5, "names": [2, 3], "sims": [500000, 500000]}]
