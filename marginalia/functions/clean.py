@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: What Python's str methods call white space, for Java patterns: Unicode white space and the separators 0x1C-0x1F.
 SPACE = r"[\s\x1c-\x1f]"
@@ -71,10 +71,20 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
-@F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
+#: What Python's html.unescape replaces, each match on its own.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_each(found: pd.Series) -> pd.Series:
     """HTML entities decoded; the full set has no built-in form."""
-    return text.map(lambda x: None if x is None else html.unescape(x))
+    return found.map(lambda x: None if x is None else [html.unescape(e) for e in x])
+
+
+def unescape(c: Column) -> Column:
+    """HTML entities decoded; only the entities themselves go to Python, not the texts around them."""
+    decoded = unescape_each(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)))
+    return F.array_join(F.get(F.transform(F.array(decoded), lambda d: F.transform(F.split(c, ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(d, i), F.lit(""))))), F.lit(0)), "")
 
 
 @F.pandas_udf(StringType())

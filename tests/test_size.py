@@ -1,9 +1,11 @@
 """Steps whose memory and traffic must not grow with the table."""
 
+import html
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from marginalia.functions import text
+from marginalia.functions import clean, text
 from marginalia.operators import similarity, topics
 from marginalia.plans import queries
 
@@ -98,3 +100,13 @@ def test_best_of_slices_keeps_ties_to_the_smaller_id():
     for names, sims in (([9, 8, 7], [0.5, 0.5, 0.2]), ([3, 4, 2], [0.5, 0.4, 0.5000001]), ([1, 6, 10], [0.0, 0.1, 0.0])):
         top.add(0, np.array([sims]), np.array(names))
     assert top.rows().to_pylist() == [{"id": 5, "names": [2, 3], "sims": [500000, 500000]}]
+
+
+def test_entities_alone_go_to_python(spark):
+    """All entities are decoded as html.unescape does; what is sent to Python is them, not the texts."""
+    texts = ["", "no entity", "&amp;", "a &lt;b&gt; &amp;amp; c", "&notit; &notin; &#65;&#x42;C &#x110000; &#0; &", "&&amp;&;&#;", "\N{GRINNING FACE}&eacute\N{GRINNING FACE}&" + "x" * 40, "&hellip;\n&copy &nbsp;", None, "&#128;&#xD800; $1 \\1 &bogus;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = df.select("id", clean.unescape(F.col("t")).alias("t"))
+    assert {r["id"]: r["t"] for r in found.collect()} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    evaluated = [x for x in plan_of(df.select(clean.description(F.col("t")))).splitlines() if "ArrowEvalPython" in x]
+    assert len(evaluated) == 1 and "regexp_extract_all" in plan_of(found)
