@@ -110,3 +110,20 @@ def test_entities_alone_go_to_python(spark):
     assert {r["id"]: r["t"] for r in found.collect()} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
     evaluated = [x for x in plan_of(df.select(clean.description(F.col("t")))).splitlines() if "ArrowEvalPython" in x]
     assert len(evaluated) == 1 and "regexp_extract_all" in plan_of(found)
+
+
+def test_vectors_are_sent_once_for_each_group(spark, monkeypatch):
+    """More blocks make no more copies: 12 blocks in 4 groups, each row in 4 meetings; repeated ids share their ranks."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((600, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(similarity, "DENSE_GROUP", 150)
+    found = similarity.vector_knn(df, 5, block=50).collect()
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 6)
+    np.fill_diagonal(sim, 0)
+    for r in found:
+        order = np.lexsort((np.arange(600), -sim[r["id"]]))
+        assert r["neighbor_id"] == order[r["rank"] - 1]
+    assert len(found) == 3000 and plan_of(similarity.vector_knn(df, 5, block=50)).count("Scan ExistingRDD") == 1
