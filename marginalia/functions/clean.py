@@ -81,8 +81,17 @@ def unescape_each(found: pd.Series) -> pd.Series:
     return found.map(lambda x: None if x is None else [html.unescape(e) for e in x])
 
 
-def unescape(c: Column) -> Column:
-    """HTML entities decoded; only the entities themselves go to Python, not the texts around them."""
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """HTML entities decoded; the full set has no built-in form."""
+    return text.map(lambda x: None if x is None else html.unescape(x))
+
+
+def unescape_apart(c: Column) -> Column:
+    """As ``unescape``; only the entities themselves go to Python, not the texts around them.
+
+    Not for the input of another Python function: Spark does not take that out of a filter over lambda functions.
+    """
     decoded = unescape_each(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)))
     return F.array_join(F.get(F.transform(F.array(decoded), lambda d: F.transform(F.split(c, ENTITY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(d, i), F.lit(""))))), F.lit(0)), "")
 
@@ -100,14 +109,14 @@ def unescape_common(c: Column) -> Column:
     return c
 
 
-def decode(c: Column, full: bool = True) -> Column:
-    """Entities decoded; text without an ampersand skips the Python worker's result."""
-    return unescape(c) if full else unescape_common(c)
+def decode(c: Column, full: bool = True, apart: bool = False) -> Column:
+    """Entities decoded; ``apart`` sends only them to Python (see ``unescape_apart``)."""
+    return (unescape_apart(c) if apart else unescape(c)) if full else unescape_common(c)
 
 
-def description(c: Column, full: bool = True) -> Column:
+def description(c: Column, full: bool = True, apart: bool = False) -> Column:
     """Entities, then tags, then white space; never null for a text, perhaps empty."""
-    return collapse(strip_tags(decode(c, full)))
+    return collapse(strip_tags(decode(c, full, apart)))
 
 
 def description_or_null(c: Column, full: bool = True) -> Column:

@@ -262,7 +262,7 @@ def clean_html(spark, sf):
 
 @query()
 def html_unescape_full(spark, sf):
-    return table(spark, sf, "pages", "page_id", "html").select("page_id", clean.description(F.col("html")).alias("description"))
+    return table(spark, sf, "pages", "page_id", "html").select("page_id", clean.description(F.col("html"), apart=True).alias("description"))
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '(?i)(https?://[^\\s]+|www\\.[^\\s]+)', ' URL ', 'g'),
