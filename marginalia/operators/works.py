@@ -12,15 +12,15 @@ from ..functions.tags import kind, normal_name
 PARTS = 16
 
 
-def with_kinds(rows: DataFrame, names: DataFrame) -> DataFrame:
+def with_kinds(rows: DataFrame, names: DataFrame, key: str = "work_id", generation: int = 2) -> DataFrame:
     """``rows`` with shelf and kind of their raw name, found once for each of ``names``.
 
     The rows of a name are dealt over ``PARTS``, since a few names hold most rows; where the names turn out to be
     few the join becomes a broadcast at run time.
     """
-    known = names.withColumn("shelf", normal_name(F.col("raw")))
-    known = known.withColumn("kind", kind(F.col("shelf"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("work_id"), F.lit(PARTS)).cast("int"))
+    known = names.withColumn("shelf", normal_name(F.col("raw"), generation))
+    known = known.withColumn("kind", kind(F.col("shelf"), generation)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
     return dealt.join(known, ["raw", "part"]).drop("part")
 
 
@@ -91,22 +91,22 @@ def work_catalog(books: DataFrame, genres: DataFrame, badges: DataFrame, top_n:
 
 def book_tags_first_generation(shelves: DataFrame, top_n: int = 15) -> DataFrame:
     """(book_id, shelf, weight, kind): per book and normal name the largest count, at least 0; the top of each kind."""
-    name = normal_name(F.col("shelf"), 1)
-    rows = shelves.select("book_id", name.alias("shelf"), F.greatest(F.coalesce("count", F.lit(0)), F.lit(0)).cast("bigint").alias("count"))
-    rows = rows.where("shelf <> ''").groupBy("book_id", "shelf").agg(F.max("count").alias("weight")).withColumn("kind", kind(F.col("shelf"), 1))
-    return top_per(rows.where("kind <> 'drop'"), ["book_id", "kind"], [F.desc("weight"), F.asc("shelf")], top_n)
+    raw = shelves.select("book_id", F.col("shelf").alias("raw"), F.greatest(F.coalesce("count", F.lit(0)), F.lit(0)).cast("bigint").alias("count"))
+    rows = with_kinds(raw, raw.select("raw").distinct(), "book_id", 1).where("shelf <> '' and kind <> 'drop'")
+    rows = rows.groupBy("book_id", "shelf", "kind").agg(F.max("count").alias("weight")).select("book_id", "shelf", "weight", "kind")
+    return top_per(rows, ["book_id", "kind"], [F.desc("weight"), F.asc("shelf")], top_n)
 
 
 def merge_tags_first_generation(books: DataFrame, tags: DataFrame, n: int = 15, weights: bool = False) -> DataFrame:
     """``books`` with genres_top and badges_top (empty where there are none), and name:weight pairs if asked for."""
 
-    def joined(which: str, pair: bool) -> DataFrame:
-        rows = top_per(tags.where(F.col("kind") == which), "book_id", [F.desc("weight"), F.asc("shelf")], n)
-        listed = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "shelf")))
-        text = F.transform(listed, lambda x: F.concat(x["shelf"], F.lit(":"), (-x["w"]).cast("string")) if pair else x["shelf"])
-        return rows.groupBy("book_id").agg(F.array_join(text, "|").alias("_t"))
+    def listed(which: str, pair: bool) -> Column:
+        x = F.array_sort(F.collect_list(F.when(F.col("kind") == which, F.struct((-F.col("weight")).alias("w"), "shelf"))))
+        return F.array_join(F.transform(x, lambda x: F.concat(x["shelf"], F.lit(":"), (-x["w"]).cast("string")) if pair else x["shelf"]), "|")
 
-    out = books
-    for which, name, pair in [("genre", "genres_top", False), ("badge", "badges_top", False)] + [("genre", "genres_top_weights", True)] * weights:
-        out = out.join(joined(which, pair).withColumnRenamed("_t", name), "book_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
-    return out
+    wanted = {"genres_top": ("genre", False), "badges_top": ("badge", False)} | ({"genres_top_weights": ("genre", True)} if weights else {})
+    top = top_per(tags.where(F.col("kind").isin("genre", "badge")), ["book_id", "kind"], [F.desc("weight"), F.asc("shelf")], n)
+    # All lists are made in one pass over the tags.
+    made = top.groupBy("book_id").agg(*[listed(*how).alias(f"_{name}") for name, how in wanted.items()])
+    out = books.join(made, "book_id", "left")
+    return out.select(*books.columns, *[F.coalesce(f"_{name}", F.lit("")).alias(name) for name in wanted])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import clean, text
-from marginalia.operators import similarity, topics
+from marginalia.operators import similarity, topics, works
 from marginalia.plans import queries
 
 
@@ -127,3 +127,15 @@ def test_vectors_are_sent_once_for_each_group(spark, monkeypatch):
         order = np.lexsort((np.arange(600), -sim[r["id"]]))
         assert r["neighbor_id"] == order[r["rank"] - 1]
     assert len(found) == 3000 and plan_of(similarity.vector_knn(df, 5, block=50)).count("Scan ExistingRDD") == 1
+
+
+def test_first_generation_tags_are_merged_in_one_pass(spark):
+    shelves = spark.createDataFrame([(1, " Fantasy ", 5), (1, "fantasy", 7), (1, "award winner", 2), (1, "to read", 9), (2, "History", None), (3, None, 4)], "book_id long, shelf string, count long")
+    found = works.book_tags_first_generation(shelves, 2)
+    assert found.columns == ["book_id", "shelf", "weight", "kind"]
+    assert [r["weight"] for r in found.where("shelf = 'fantasy'").collect()] == [7]
+    books = spark.createDataFrame([(i,) for i in range(1, 5)], "book_id long")
+    merged = works.merge_tags_first_generation(books, found, 2, weights=True)
+    rows = {r["book_id"]: (r["genres_top"], r["badges_top"], r["genres_top_weights"]) for r in merged.collect()}
+    assert rows[1] == ("fantasy", "award winner", "fantasy:7") and rows[2] == ("history", "", "history:0") and rows[3] == rows[4] == ("", "", "")
+    assert plan_of(works.merge_tags_first_generation(books, found, 2, weights=True)).count("LeftOuter") == 1
