@@ -139,3 +139,24 @@ def test_first_generation_tags_are_merged_in_one_pass(spark):
     rows = {r["book_id"]: (r["genres_top"], r["badges_top"], r["genres_top_weights"]) for r in merged.collect()}
     assert rows[1] == ("fantasy", "award winner", "fantasy:7") and rows[2] == ("history", "", "history:0") and rows[3] == rows[4] == ("", "", "")
     assert plan_of(works.merge_tags_first_generation(books, found, 2, weights=True)).count("LeftOuter") == 1
+
+
+def test_lda_inference_is_that_of_single_documents():
+    """Slices of documents of like length, and the last few of them taken together, give what a plain loop gives."""
+    rng = np.random.default_rng(8)
+    size = rng.integers(0, 30, 60)
+    ends, tf = np.r_[0, np.cumsum(size)], rng.integers(1, 4, size.sum()).astype(np.float32)
+    at = np.concatenate([np.sort(rng.choice(200, n, replace=False)) for n in size])
+    lam, alpha, gamma = rng.gamma(1, 1, (4, 200)), np.full(4, 0.25), np.ones((60, 4))
+    beta = np.exp(topics._psi(lam) - topics._psi(lam.sum(axis=1, keepdims=True))).T
+    topics.Bayes._infer(ends, at, tf, gamma, beta.astype(np.float32), alpha)
+    for d, n in enumerate(size):
+        g, b, change = np.ones(4), beta[at[ends[d] : ends[d + 1]]], 1.0
+        while n and change > 1e-5:
+            theta = np.exp(topics._psi(g) - topics._psi(g.sum()))
+            new = alpha + theta * (b.T @ (tf[ends[d] : ends[d + 1]] / (b @ theta)))
+            g, change = new, np.abs(new - g).mean()
+        assert np.abs(g - gamma[d]).max() < 0.2 + 0.01 * tf[ends[d] : ends[d + 1]].sum()
+    x = np.array([0.02, 0.5, 1.0, 7.0])
+    assert np.allclose(np.diff([topics._psi(x), topics._psi(x + 1)], axis=0), 1 / x) and np.allclose(np.diff([topics._psi1(x + 1), topics._psi1(x)], axis=0), 1 / x**2)
+    assert abs(topics._psi(np.array([1.0]))[0] + 0.5772156649) < 1e-9 and abs(topics._psi1(np.array([1.0]))[0] - np.pi**2 / 6) < 1e-8
