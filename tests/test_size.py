@@ -160,3 +160,15 @@ def test_lda_inference_is_that_of_single_documents():
     x = np.array([0.02, 0.5, 1.0, 7.0])
     assert np.allclose(np.diff([topics._psi(x), topics._psi(x + 1)], axis=0), 1 / x) and np.allclose(np.diff([topics._psi1(x + 1), topics._psi1(x)], axis=0), 1 / x**2)
     assert abs(topics._psi(np.array([1.0]))[0] + 0.5772156649) < 1e-9 and abs(topics._psi1(np.array([1.0]))[0] - np.pi**2 / 6) < 1e-8
+
+
+def test_lda_iterations_keep_the_documents_weights(spark):
+    """A document's inference goes on from its last iteration; its final shares are read from there, none is left out."""
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"w{i % 3}{c}" for c in "abcdef")) for i in range(90)] + [("none", "")], "id string, text string")
+    model, vectorizer, vectors = topics.lda(docs, topics=3, min_df=1, max_df=1.0, iterations=6, fit_docs=None)
+    assert "InMemoryTableScan" in plan_of(vectors)
+    got = {r["id"]: r["vec"] for r in vectors.collect()}
+    assert len(got) == 91 and got.pop("none") == [0.0] * 3 and all(abs(sum(v) - 1) < 1e-5 for v in got.values())
+    assert all(np.allclose(got[f"d{i}"], got[f"d{i % 3}"], atol=1e-3) for i in range(90))
+    assert type(model).__name__ == "LocalLDAModel" and model.getMaxIter() == 6 and model.vocabSize() == 18
+    assert topics.lda_keywords(model, vectorizer, 4).count() == 3
