@@ -172,3 +172,18 @@ def test_lda_iterations_keep_the_documents_weights(spark):
     assert all(np.allclose(got[f"d{i}"], got[f"d{i % 3}"], atol=1e-3) for i in range(90))
     assert type(model).__name__ == "LocalLDAModel" and model.getMaxIter() == 6 and model.vocabSize() == 18
     assert topics.lda_keywords(model, vectorizer, 4).count() == 3
+
+
+def test_totals_of_terms_follow_the_texts(spark, monkeypatch):
+    """Both tables of terms are dealt over parts that follow the bytes of text, not over the session's partitions."""
+    rows = [(i // 2 if i < 20 else i, f"every word{i % 3} rare{i}" if i % 7 else None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    words = text.terms(F.col("text"))
+    want = similarity.term_counts(docs, words).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    monkeypatch.setattr(similarity, "PART", 1 << 7)
+    found = similarity.term_totals(docs, words)
+    assert sorted(found.collect()) == sorted(want.collect())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert found.rdd.getNumPartitions() == -(-size // (1 << 7)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = similarity.term_totals(docs.where("id >= 20"), words)
+    assert plan_of(unique).count("Exchange") == 2
