@@ -23,8 +23,8 @@ def collapse(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """Null, or only white space; the test ends at the first other character."""
-    return c.isNull() | ~c.rlike(rf"(?U)[^{SPACE[1:-1]}]")
+    """Null, or only white space; the test ends at the first other character, a visible ASCII one needs no pattern."""
+    return c.isNull() | ~(F.ascii(c).between(33, 126) | c.rlike(rf"(?U)[^{SPACE[1:-1]}]"))
 
 
 def to_long(c: Column) -> Column:

@@ -39,11 +39,12 @@ transform(
 """
 
 
-def with_lists(records: DataFrame) -> DataFrame:
-    """``records`` with author_list and shelf_list, arrays of structs (null where the field is no list)."""
+def with_lists(records: DataFrame, where: Column | None = None) -> DataFrame:
+    """``records`` with author_list and shelf_list, arrays of structs (null where the field is no list, or not ``where``)."""
     shelf = "transform(_s, e -> named_struct('object', coalesce(schema_of_variant(e) like 'OBJECT%', false), 'name', try_variant_get(e, '$.name', 'string'), 'count', try_cast(try_variant_get(e, '$.count', 'string') as bigint)))"
     # Generators keep the lists from being computed again in each rule that reads them.
-    df = records.select("*", F.inline(F.array(F.struct(_elements("authors").alias("_a"), _elements("shelves").alias("_s")))))
+    both = [_elements(c) if where is None else F.when(where, _elements(c)) for c in ("authors", "shelves")]
+    df = records.select("*", F.inline(F.array(F.struct(both[0].alias("_a"), both[1].alias("_s")))))
     both = F.struct(F.expr(_AUTHOR.format("_a")).alias("author_list"), F.expr(shelf).alias("shelf_list"))
     return df.select(*[c for c in df.columns if c not in ("_a", "_s")], F.inline(F.array(both)))
 
@@ -53,11 +54,17 @@ def first_author(authors: Column) -> Column:
     return F.try_element_at(F.filter(authors, lambda a: a["object"] & ~is_blank(a["id"]) & ~is_blank(a["name"])), F.lit(1))
 
 
-def reject_reason() -> Column:
-    """The first rule that a record (see ``with_lists``) fails; null if it passes all."""
+def _first(rules: list[tuple[str, Column]]) -> Column:
+    out = F.lit(None).cast("string")
+    for reason, failed in reversed(rules):
+        out = F.when(failed, reason).otherwise(out)
+    return out
+
+
+def field_reason() -> Column:
+    """The first rule on a record's plain fields that it fails; null if it passes all of them."""
     n, rating, pages = to_long(F.col("ratings_count")), to_double(F.col("average_rating")), to_long(F.col("num_pages"))
-    author = first_author(F.col("author_list"))
-    rules = [
+    return _first([
         ("missing_id", is_blank(F.col("id"))),
         ("missing_title", is_blank(F.col("title"))),
         ("missing_description", is_blank(F.col("description"))),
@@ -74,18 +81,29 @@ def reject_reason() -> Column:
         ("avg_rating_0_and_low_ratings", (rating == 0) & (n <= 1)),
         ("missing_num_pages", pages.isNull()),
         ("num_pages_le_0", pages <= 0),
+    ])
+
+
+def list_reason() -> Column:
+    """The first rule on its lists that a record (see ``with_lists``) fails; null if it passes all of them."""
+    author = first_author(F.col("author_list"))
+    return _first([
         ("shelves_not_list", F.col("shelf_list").isNull()),
         ("shelves_empty", F.size("shelf_list") == 0),
         ("missing_author_id_or_name", (is_blank(F.col("author_id")) | is_blank(F.col("author_name"))) & author.isNull()),
-    ]
-    out = F.lit(None).cast("string")
-    for reason, failed in reversed(rules):
-        out = F.when(failed, reason).otherwise(out)
-    return out
+    ])
 
 
 def validate(records: DataFrame) -> DataFrame:
-    return with_lists(records).withColumn("reject_reason", reject_reason())
+    """``records`` with reject_reason, the first rule that each fails, null if it passes all, and with its lists.
+
+    Lists are taken apart only for records whose plain fields pass, as no later rule or table looks at the others; there
+    they are null.
+    """
+    # As a generator's output the reason is found once, not once for each list that waits for it.
+    known = records.select("*", F.inline(F.array(F.struct(field_reason().alias("_reason")))))
+    listed = with_lists(known, F.col("_reason").isNull())
+    return listed.withColumn("reject_reason", F.coalesce("_reason", list_reason())).drop("_reason")
 
 
 def reject_histogram(validated: DataFrame, most: int = 20) -> DataFrame:

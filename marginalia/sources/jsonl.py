@@ -20,7 +20,10 @@ SCHEMA = ", ".join(f"{c} string" for c in SCALARS) + ", authors variant, shelves
 
 def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Records of the column ``value``."""
-    line = lines.select(F.trim(F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")).alias("value")).where("value <> ''")
+    whole = F.col("value").startswith("{") & F.col("value").endswith("}")
+    trimmed = F.when(whole, F.col("value")).otherwise(F.trim(F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")))
+    # As a generator's output a line is made and trimmed once, not again in each filter that looks at it.
+    line = lines.select(F.inline(F.array(F.struct(trimmed.alias("value"))))).where("value <> ''")
     if strict:
         line = line.where(F.when(F.col("value").startswith("{"), F.lit(True)).otherwise(
             F.when(F.try_parse_json("value").isNotNull(), False).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 80))).cast("boolean"))

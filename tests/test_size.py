@@ -1,13 +1,15 @@
 """Steps whose memory and traffic must not grow with the table."""
 
 import html
+import json
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import clean, text
-from marginalia.operators import similarity, topics, works
+from marginalia.operators import ingest, similarity, topics, works
 from marginalia.plans import queries
+from marginalia.sources import jsonl
 
 
 def plan_of(df):
@@ -187,3 +189,15 @@ def test_totals_of_terms_follow_the_texts(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == -(-size // (1 << 7)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     unique = similarity.term_totals(docs.where("id >= 20"), words)
     assert plan_of(unique).count("Exchange") == 2
+
+
+def test_lines_are_made_once_and_lists_only_where_needed(spark, tmp_path):
+    """Filters on a line don't make it again below them; lists of records that plain fields reject are not taken apart."""
+    spark.sql("select id as o_orderkey, '1-URGENT' as o_orderpriority, timestamp_ntz'2001-02-03' as o_orderdate, 1e5 as o_totalprice from range(2000)").write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries.reject_reasons(spark, str(tmp_path))
+    assert plan_of(found).count("StructsToJsonEvaluator") == 1
+    good = {"id": "1", "title": "t", "description": "d", "isbn": "i", "isbn13": "j", "language": "eng", "publication_date": "2001", "original_publication_date": "2001", "publisher": "p", "rating_dist": "5:1", "ratings_count": "2", "average_rating": "4", "num_pages": "3", "author_id": "7", "author_name": "N", "authors": [{"id": "1", "name": "A"}], "shelves": [{"name": "s", "count": 1}]}
+    lines = [json.dumps(good), "\ufeff " + json.dumps({**good, "id": "2", "title": " "}) + " \t", json.dumps({**good, "id": "3", "title": " é", "shelves": 5}), None, " "]
+    rows = {r["id"]: r for r in ingest.validate(jsonl.parse(spark.createDataFrame([(x,) for x in lines], "value string"))).collect()}
+    assert {k: r["reject_reason"] for k, r in rows.items()} == {"1": None, "2": "missing_title", "3": "shelves_not_list"}
+    assert rows["1"]["shelf_list"] and rows["1"]["author_list"] and rows["2"]["shelf_list"] is None and rows["2"]["author_list"] is None
