@@ -4,6 +4,7 @@ import html
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marginalia.functions import clean, text
@@ -97,6 +98,48 @@ def test_neighbours_meet_in_groups(spark):
         assert {(r["id"], r["rank"]): (r["neighbor_id"], r["sim"]) for r in found.collect()} == want
 
 
+def shuffled(spark, since=0):
+    """(rows written to shuffles by the stages from number ``since`` on, the next stage's number)."""
+    ctx = spark.sparkContext
+    ctx._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = ctx._jsc.sc().statusStore().stageList(None, False, False, ctx._gateway.new_array(ctx._jvm.double, 0), ctx._jvm.java.util.ArrayList())
+    found = {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+    return sum(n for (i, _), n in found.items() if i >= since), max((i for i, _ in found), default=-1) + 1
+
+
+def test_neighbours_are_not_shuffled_for_each_group(spark):
+    """Rows are dealt once, however many groups there are, and lists of best stay with their rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, sorted(rng.choice(40, 6, replace=False).tolist()), [6**-0.5] * 6) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, at array<int>, ws array<double>")
+    _, since = shuffled(spark)
+    found = {(r["id"], r["rank"]): (r["neighbor_id"], r["sim"]) for r in similarity.knn_rows(df, 40, 400, 5, group=40, block=16).collect()}
+    # Rows, and a count of records for each group; a copy of each row for each group would be over 4,000.
+    assert shuffled(spark, since)[0] < 800
+    assert found == {(r["id"], r["rank"]): (r["neighbor_id"], r["sim"]) for r in similarity.knn_rows(df, 40, 400, 5).collect()} and len(found) == 2000
+
+
+def test_products_of_single_precision_are_ranked_exactly():
+    """Labels, slices and single precision change no rank: products that differ by less than it tells are told apart."""
+    rng = np.random.default_rng(9)
+    n, v = 700, 60
+    x = rng.random((n, v)) * (rng.random((n, v)) < 0.3)
+    x[300:420] = x[300] * (1 + 1e-6 * rng.random((120, v)))
+    x /= np.maximum(1e-12, np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    at = [np.flatnonzero(r).astype(np.int32) for r in x]
+    table = pa.table({"id": pa.array(range(n), pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "ws": pa.array([r[a] for r, a in zip(x, at)], pa.list_(pa.float64()))})
+    rows = similarity.Sparse.of(similarity.alike(table).combine_chunks())
+    assert sorted(rows.ids.tolist()) == list(range(n)) and len(set(rows.label.tolist())) > 1
+    sim = np.round(x @ x.T, 6)
+    np.fill_diagonal(sim, 0)
+    for dense in (0.003, 0.2, similarity.NEVER):
+        top = similarity._Top(rows.ids, 9, 6)
+        similarity._meet_sparse(v, dense)(rows, rows, top, 64)
+        for r in top.rows().to_pylist():
+            order = np.lexsort((np.arange(n), -sim[r["id"]]))[:9]
+            assert r["sims"] == np.rint(sim[r["id"], order] * 1e6).astype(int).tolist() and r["names"] == order.tolist()
+
+
 def test_best_of_slices_keeps_ties_to_the_smaller_id():
     top = similarity._Top(np.array([5]), 2, 6)
     for names, sims in (([9, 8, 7], [0.5, 0.5, 0.2]), ([3, 4, 2], [0.5, 0.4, 0.5000001]), ([1, 6, 10], [0.0, 0.1, 0.0])):
