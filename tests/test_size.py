@@ -244,3 +244,40 @@ def test_lines_are_made_once_and_lists_only_where_needed(spark, tmp_path):
     rows = {r["id"]: r for r in ingest.validate(jsonl.parse(spark.createDataFrame([(x,) for x in lines], "value string"))).collect()}
     assert {k: r["reject_reason"] for k, r in rows.items()} == {"1": None, "2": "missing_title", "3": "shelves_not_list"}
     assert rows["1"]["shelf_list"] and rows["1"]["author_list"] and rows["2"]["shelf_list"] is None and rows["2"]["author_list"] is None
+
+
+def test_rare_terms_are_not_shuffled_for_a_vocabulary(spark, tmp_path):
+    """Terms that can't be in the vocabulary are left out before any shuffle; before, each moved with its count."""
+    rows = [(i, f"all{i % 40} " + " ".join(f"rare{i}x{j}" for j in range(30))) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    since = shuffled(spark)[1]
+    got = {r["term"]: (r["df"], r["cf"]) for r in queries.vocab_prune(spark, str(tmp_path)).collect()}
+    assert got == {f"all{k}": (25, 25) for k in range(40)}
+    assert shuffled(spark, since)[0] < 10_000  # of 61,000 terms
+
+
+def test_vocabulary_is_that_of_all_terms(spark, monkeypatch):
+    """Whatever the buckets hold: few of them, terms over the bounds, ties at the end, repeated ids, nothing at all."""
+    rng = np.random.default_rng(8)
+    rows = [(i // 2 if i < 40 else i, " ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, 40), 3000))) for i in range(300)]
+    rows += [(1000 + i, f"junk{i} " * 500) for i in range(30)] + [(2000, ""), (2001, None), (None, "w5 w7")]
+    docs, words = spark.createDataFrame(rows, "id long, text string"), text.terms(F.col("text"))
+    totals = similarity.term_totals(docs, words).persist()
+    made = []
+    whole = similarity.term_totals
+    monkeypatch.setattr(similarity, "term_totals", lambda *a: made.append(a[3]) or whole(*a))
+    for buckets, most, spare in ((1 << 22, 80_000, 2), (1 << 22, 20, 1), (1 << 12, 20, 2), (1 << 12, 60, 1), (64, 5, 2), (64, 50, 2)):
+        monkeypatch.setattr(similarity, "BUCKETS", buckets)
+        monkeypatch.setattr(similarity, "SPARE", spare)
+        want = [tuple(r) for r in similarity.vocabulary(totals, 300, 3, 0.6, most).collect()]
+        assert [tuple(r) for r in similarity.frequent_terms(docs, words, 300, 3, 0.6, most).collect()] == want and want
+    assert any(x is None for x in made) and any(x is not None for x in made) and len(made) > 6
+    assert similarity.frequent_terms(docs.limit(0), words, 0).count() == 0
+
+
+def test_texts_of_one_part_are_dealt_for_bucket_sums(spark):
+    """A table whose rows lie in one of many parts keeps no core idle; even parts aren't shuffled."""
+    docs = spark.range(0, 100, 1, 8).select("id", F.lit("two words").alias("text"))
+    assert similarity._per_core(docs).rdd.getNumPartitions() == 4 and "Exchange" not in plan_of(similarity._per_core(docs))
+    assert "Exchange" in plan_of(similarity._per_core(docs.where("id < 10")))
+    assert similarity.bucket_sums(docs.where("id < 10"), text.terms(F.col("text"))).sum() == 30
